@@ -1,175 +1,186 @@
 """Ordered work on groups of any size.
 
-A window over a group runs in one task, so a group holding a third of the table would
-decide the run time. `spread` cuts only such hot groups into value ranges; prefix sums, row
+A window or an exact percentile over a group runs in one task, so it is only planned that way
+after a check that every group is small (one aggregate over the key columns). If some group
+holds more than its fair share, the hot groups are cut into value ranges: prefix sums, row
 positions, ranks and quantiles work inside a range and add the totals of the earlier ranges.
-Results are exact; cold groups keep the plain one-shuffle plan.
+Both ways are exact.
 """
 
-from math import ceil, floor, sqrt
+from bisect import bisect_right
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hot_rows, n_ranges
+from ..session import cut, hot_rows, n_ranges
 
 RNG = "_rng"
+UNBOUNDED = Window.unboundedPreceding
 
 
-def _edge_columns(col: str, n: int, tag: str) -> tuple[Column, list[Column]]:
-    """Aggregate giving n-1 approximate quantiles, and the lookup arrays derived from it."""
-    probs = [i / n for i in range(1, n)]
-    agg = F.percentile_approx(col, probs, max(10000, 20 * n)).alias(f"_{tag}")
-    step = ceil(sqrt(n - 1))
-    e = F.col(f"_{tag}")
-    coarse = F.array(*[e[i * step - 1] for i in range(1, floor((n - 1) / step) + 1)])
-    fine = F.array(*[F.slice(e, i * step + 1, step) for i in range(floor((n - 1) / step) + 1)])
-    repeated = F.filter(e, lambda v, i: (i > 0) & (v == F.get(e, i - 1)))
-    return agg, [
-        coarse.alias(f"_{tag}_coarse"),
-        fine.alias(f"_{tag}_fine"),
-        F.array_distinct(repeated).alias(f"_{tag}_repeated"),
-        e,
-    ]
-
-
-def _bucket(col: str, n: int, tag: str) -> Column:
-    """How many edges are <= the value (two small scans instead of one long one)."""
-    step = ceil(sqrt(n - 1))
-    c = F.size(F.filter(f"_{tag}_coarse", lambda v: v <= F.col(col)))
-    f = F.size(F.filter(F.element_at(f"_{tag}_fine", c + 1), lambda v: v <= F.col(col)))
-    return c * F.lit(step) + f
-
-
-def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add `_rng`: 0 for cold groups, increasing along `order` for hot ones.
-
-    At most `n_ranges` groups can exceed the fair share, so the broadcast list of hot groups is
-    bounded. A value so frequent that it fills whole ranges is cut further by `order[1]`, which
-    makes any (group, range) hold about twice the fair share at most.
-    """
+def size_limit(df: DataFrame, keys: list[str]) -> int | None:
+    """Rows a group may have in one task, or None if no group exceeds it."""
     spark = df.sparkSession
-    n = n_ranges(spark)
-    part = df
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    biggest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    limit = hot_rows(spark)
+    if keys:
+        limit = max(limit, ceil((total or 0) / n_ranges(spark)))
+    return limit if (biggest or 0) > limit else None
+
+
+def _search(col: str, edges: list) -> Column:
+    """How many of the sorted edges are <= the value, as a balanced tree of comparisons."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(col) < F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    return tree(0, len(edges))
+
+
+def spread(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """Add `_rng`: 0 for groups up to `limit` rows, increasing along `order` for larger ones.
+
+    A group above the fair share is rare: there are at most total/limit of them, so their
+    broadcast list is bounded, and so are the edges the driver reads. A value so frequent that it
+    fills whole ranges is cut further by `order[1]`, so no range is much above the fair share.
+    """
+    n = n_ranges(df.sparkSession)
     if keys:
-        total = df.agg(F.count("*").alias("_total"))
-        hot = (
-            df.groupBy(*keys).agg(F.count("*").alias("_size"))
-            .crossJoin(F.broadcast(total))
-            .where(F.col("_size") > F.greatest(F.lit(hot_rows(spark)), F.col("_total") / n))
-            .select(*keys, F.lit(True).alias("_hot"))
-        )
-        part = df.join(F.broadcast(hot), keys, "left_semi")
-    aggs, lookups = [], []
-    for i, c in enumerate(order[:2]):
-        a, cols = _edge_columns(c, n, f"e{i}")
-        aggs.append(a)
-        lookups += cols
-    edges = part.agg(*aggs).select(*lookups)
-    scratch = [c for c in edges.columns]
-    out = df.crossJoin(F.broadcast(edges))
+        hot = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
+        hot = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+        part = df.join(hot, keys, "left_semi")
+    else:
+        part = df
+    probs = [i / n for i in range(1, n)]
+    read = part.agg(*[F.percentile_approx(c, probs, max(10000, 20 * n)) for c in order[:2]]).first()
+    first = list(read[0] or [])
+    edges = sorted(set(first))
     x = F.col(order[0])
-    b0 = _bucket(order[0], n, "e0")
-    # an edge value gets its own (even) half-bucket, so cutting it by order[1] keeps the order
-    on_edge = (b0 > 0) & (F.get("_e0", b0 - 1) == x)
-    code = 2 * b0 + F.when(on_edge, 0).otherwise(1)
+    # an edge value gets its own (even) half-range, so cutting it by order[1] keeps the order
+    at = _search(order[0], edges)
+    code = 2 * at + F.when(x.isin(edges), 0).otherwise(1)
     if len(order) > 1:
-        sub = F.when(F.array_contains("_e0_repeated", x), _bucket(order[1], n, "e1")).otherwise(0)
-        code = code * F.lit(n) + sub
+        frequent = sorted({v for v in edges if bisect_right(first, v) - first.index(v) > 1})
+        sub = _search(order[1], sorted(set(read[1] or [])))
+        code = code * F.lit(n) + F.when(x.isin(frequent), sub).otherwise(0)
     code = (code + 1).cast("long")
-    if keys:
-        out = out.join(F.broadcast(hot), keys, "left")
-        out = out.withColumn(RNG, F.when(F.col("_hot"), code).otherwise(F.lit(0).cast("long")))
-        scratch.append("_hot")
-    else:
-        out = out.withColumn(RNG, code)
-    return out.drop(*scratch)
+    if not keys:
+        return df.withColumn(RNG, code)
+    out = df.join(hot, keys, "left")
+    return out.withColumn(RNG, F.when(F.col("_hot"), code).otherwise(F.lit(0).cast("long"))).drop("_hot")
 
 
-def _offsets(s: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+def offsets(s: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Totals of the earlier ranges, one row per (hot group, range)."""
-    w = Window.partitionBy(*keys).orderBy(RNG).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(RNG).rowsBetween(UNBOUNDED, -1)
     t = s.where(F.col(RNG) > 0).groupBy(*keys, RNG).agg(*[e.alias(c) for c, e in sums.items()])
     return t.select(*keys, RNG, *[F.sum(c).over(w).alias(f"_off_{c}") for c in sums])
 
 
-def prefix_sums(t: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
+def prefix_sums(t: DataFrame, keys: list[str], order: str, cols: list[str], limit: int | None) -> DataFrame:
     """Add `<c>_below`, the sum of c over rows of the group that sort before this one.
 
     `t` has one row per (keys, order).
     """
-    s = spread(t, keys, [order])
-    w = Window.partitionBy(*keys, RNG).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = s.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
-    off = _offsets(s, keys, {c: F.sum(c) for c in cols})
-    out = local.join(off, [*keys, RNG], "left")
-    out = out.withColumns(
-        {f"{c}_below": F.col(f"{c}_below") + F.coalesce(f"_off_{c}", F.lit(0)) for c in cols}
-    )
+    zero = F.lit(0)
+    if limit is None:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(UNBOUNDED, -1)
+        return t.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(w), zero) for c in cols})
+    s = spread(cut(t), keys, [order], limit)
+    w = Window.partitionBy(*keys, RNG).orderBy(order).rowsBetween(UNBOUNDED, -1)
+    off = offsets(s, keys, {c: F.sum(c) for c in cols})
+    out = s.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(w), zero) for c in cols})
+    out = out.join(off, [*keys, RNG], "left")
+    out = out.withColumns({f"{c}_below": F.col(f"{c}_below") + F.coalesce(f"_off_{c}", zero) for c in cols})
     return out.drop(RNG, *[f"_off_{c}" for c in cols])
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Exact 1-based row number in the group; `order` must be unique in it."""
-    s = spread(df, keys, order)
+    limit = size_limit(df, keys)
+    if limit is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
+    s = spread(cut(df), keys, order, limit)
     w = Window.partitionBy(*keys, RNG).orderBy(*order)
-    off = _offsets(s, keys, {"n": F.count("*")})
-    d = s.withColumn(out, F.row_number().over(w)).join(off, [*keys, RNG], "left")
-    d = d.withColumn(out, F.col(out).cast("long") + F.coalesce("_off_n", F.lit(0)))
-    return d.drop(RNG, "_off_n")
+    d = s.withColumn(out, F.row_number().over(w)).join(
+        offsets(s, keys, {"n": F.count("*")}), [*keys, RNG], "left")
+    return d.withColumn(out, F.col(out).cast("long") + F.coalesce("_off_n", F.lit(0))).drop(RNG, "_off_n")
+
+
+def with_group_size(t: DataFrame, keys: list[str], n: str, out: str) -> DataFrame:
+    size = t.groupBy(*keys).agg(F.sum(n).alias(out))
+    return t.join(size, keys) if keys else t.crossJoin(F.broadcast(size))
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, limit: int | None = None) -> DataFrame:
     """One row per (keys, value): n ties, n_below, avg_rank (1-based) and group size n_group."""
     t = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    p = prefix_sums(t, keys, value, ["n"])
-    size = t.groupBy(*keys).agg(F.sum("n").alias("n_group"))
-    p = p.join(size, keys) if keys else p.crossJoin(F.broadcast(size))
+    p = prefix_sums(with_group_size(t, keys, "n", "n_group"), keys, value, ["n"], limit)
     return p.withColumn("avg_rank", F.col("n_below") + (F.col("n") + 1) / 2)
 
 
-def with_avg_rank(df: DataFrame, keys: list[str], value: str, out: str, scale: str = "n") -> DataFrame:
-    """Average-method rank of `value` in its group.
-
-    scale: "raw" keeps the rank, "n" divides by the group size, "n-1" by size - 1, and
-    "unit" maps to [0, 1] as (rank - 1) / max(1, size - 1).
-    """
-    ranks = value_ranks(df, keys, value)
-    r, n = F.col("avg_rank"), F.col("n_group")
-    expr = {
+def _scaled(r: Column, n: Column, scale: str) -> Column:
+    return {
         "raw": r,
         "n": r / n,
         "n-1": F.try_divide(r, (n - 1).cast("double")),
         "unit": (r - 1) / F.greatest(n - 1, F.lit(1)),
     }[scale]
-    return df.join(ranks.select(*keys, value, expr.alias(out)), [*keys, value], "left")
+
+
+def with_avg_rank(df: DataFrame, keys: list[str], columns: dict[str, str], scale: str = "n") -> DataFrame:
+    """Average-method rank of each column in its group, as {value column: output column}.
+
+    scale: "raw" keeps the rank, "n" divides by the group size, "n-1" by size - 1, and
+    "unit" maps to [0, 1] as (rank - 1) / max(1, size - 1). Nulls get no rank.
+    """
+    limit = size_limit(df, keys)
+    for value, out in columns.items():
+        if limit is None:
+            w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+            ties = F.count(value).over(Window.partitionBy(*keys, value))
+            size = F.count(value).over(Window.partitionBy(*keys))
+            rank = F.rank().over(w) + (ties - 1) / 2
+            df = df.withColumn(out, F.when(F.col(value).isNotNull(), _scaled(rank, size, scale)))
+        else:
+            ranks = value_ranks(df, keys, value, limit)
+            rank = _scaled(F.col("avg_rank"), F.col("n_group"), scale)
+            df = df.join(ranks.select(*keys, value, rank.alias(out)), [*keys, value], "left")
+    return df
 
 
 def quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
     weight: str | None = None, method: str = "linear",
 ) -> DataFrame:
-    """Exact quantiles per group, without a per-group buffer.
+    """Exact quantiles per group.
 
-    `percentile` keeps every distinct value of a group in one task; here a row is kept only if
-    it is one of the two order statistics a quantile interpolates. `method="nearest"` takes the
-    closer of the two instead.
+    `percentile` keeps every distinct value of a group in one buffer, so it serves small groups
+    only; beyond that a row is kept only if it is one of the two order statistics a quantile
+    interpolates. `method="nearest"` takes the closer of the two instead.
     """
+    d = df.where(F.col(value).isNotNull())
+    limit = size_limit(d, keys)
+    if limit is None and method == "linear":
+        p = F.percentile(value, list(probs.values()), F.col(weight) if weight else 1).alias("_q")
+        g = d.groupBy(*keys).agg(p)
+        return g.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
     size_of = F.sum(weight) if weight else F.count("*")
-    t = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size_of.alias("_n"))
-    p = prefix_sums(t, keys, value, ["_n"])
-    size = t.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    p = p.join(size, keys) if keys else p.crossJoin(F.broadcast(size))
+    t = d.groupBy(*keys, value).agg(size_of.alias("_n"))
+    p = prefix_sums(with_group_size(t, keys, "_n", "_size"), keys, value, ["_n"], limit)
     below, n = F.col("_n_below"), F.col("_n")
     hits, picks = [], []
     for name, q in probs.items():
         pos = (F.col("_size") - 1) * F.lit(float(q))
-        lo = F.floor(pos)
-        for side, at in (("lo", lo), ("hi", F.ceil(pos))):
+        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (below <= at) & (at < below + n)
             hits.append(hit)
             picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
-        picks.append(F.max(pos - lo).alias(f"_{name}_frac"))
+        picks.append(F.max(pos - F.floor(pos)).alias(f"_{name}_frac"))
     any_hit = hits[0]
     for h in hits[1:]:
         any_hit = any_hit | h

@@ -9,7 +9,7 @@ them; running features add the totals of the earlier blocks.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import block_rows
+from ..session import block_rows, cut
 
 BLK = "_blk"
 
@@ -48,9 +48,13 @@ def running(
     """
     aggs = {"sum": F.sum, "min": F.min, "max": F.max}
     size = block_rows(df.sparkSession)
-    d = df.withColumn(BLK, F.floor((F.col(pos).cast("long") - 1) / size))
     end = 0 if include_current else -1
     o = (lambda c: F.col(c).desc()) if reverse else F.col
+    longest = df.agg(F.max(pos)).first()[0] or 0
+    if longest <= size:
+        w = Window.partitionBy(*keys).orderBy(o(pos)).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumns({c: aggs[fn](e).over(w) for c, (fn, e) in features.items()})
+    d = cut(df).withColumn(BLK, F.floor((F.col(pos).cast("long") - 1) / size))
     w = Window.partitionBy(*keys, BLK).orderBy(o(pos)).rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*keys).orderBy(o(BLK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = d.groupBy(*keys, BLK).agg(*[aggs[fn](e).alias(f"_t_{c}") for c, (fn, e) in features.items()])

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import q_sources  # noqa: F401
+from . import q_features, q_sources  # noqa: F401

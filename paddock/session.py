@@ -2,6 +2,7 @@
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,11 @@ def staged(spark: SparkSession, name: str, source: str, build, partition_by=())
         build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         _staged[(app, path)] = path
     return spark.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a derived table that is about to be read several times, and read it back."""
+    spark = df.sparkSession
+    path = f"{stage_dir(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
