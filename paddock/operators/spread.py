@@ -8,7 +8,7 @@ Both ways are exact.
 """
 
 from bisect import bisect_right
-from math import ceil
+from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +31,32 @@ def size_limit(df: DataFrame, keys: list[str]) -> int | None:
 
 
 def _search(col: str, edges: list) -> Column:
-    """How many of the sorted edges are <= the value, as a balanced tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(col) < F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return tree(0, len(edges))
+    """How many of the sorted edges are <= the value."""
+    if len(edges) <= 128:  # a balanced tree of comparisons
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(F.col(col) < F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return tree(0, len(edges))
+    # two short scans over constant arrays
+    step = isqrt(len(edges))
+    full = len(edges) // step
+    upto = lambda a: F.size(F.filter(a, lambda v: v <= F.col(col)))
+    coarse = upto(F.array(*[F.lit(edges[i * step - 1]) for i in range(1, full + 1)]))
+    chunks = F.array(*[F.array(*[F.lit(v) for v in edges[i * step:(i + 1) * step]]) for i in range(full + 1)])
+    return coarse * F.lit(step) + F.greatest(upto(F.get(chunks, coarse)), F.lit(0))
+
+
+def _edges(part: DataFrame, col: str, n: int) -> list:
+    """About n-1 cut points, repeated where one value fills several ranges."""
+    if dict(part.dtypes)[col] == "string":
+        sample = part.select(col).where(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(20 * n)
+        values = sorted(row[0] for row in sample.collect())
+        return values[20::20]
+    probs = [i / n for i in range(1, n)]
+    read = part.agg(F.percentile_approx(col, probs, max(10000, 20 * n))).first()
+    return list(read[0] or [])
 
 
 def spread(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
@@ -54,9 +73,7 @@ def spread(df: DataFrame, keys: list[str], order: list[str], limit: int) -> Data
         part = df.join(hot, keys, "left_semi")
     else:
         part = df
-    probs = [i / n for i in range(1, n)]
-    read = part.agg(*[F.percentile_approx(c, probs, max(10000, 20 * n)) for c in order[:2]]).first()
-    first = list(read[0] or [])
+    first = _edges(part, order[0], n)
     edges = sorted(set(first))
     x = F.col(order[0])
     # an edge value gets its own (even) half-range, so cutting it by order[1] keeps the order
@@ -64,7 +81,7 @@ def spread(df: DataFrame, keys: list[str], order: list[str], limit: int) -> Data
     code = 2 * at + F.when(x.isin(edges), 0).otherwise(1)
     if len(order) > 1:
         frequent = sorted({v for v in edges if bisect_right(first, v) - first.index(v) > 1})
-        sub = _search(order[1], sorted(set(read[1] or [])))
+        sub = _search(order[1], sorted(set(_edges(part, order[1], n))))
         code = code * F.lit(n) + F.when(x.isin(frequent), sub).otherwise(0)
     code = (code + 1).cast("long")
     if not keys:

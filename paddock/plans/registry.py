@@ -94,7 +94,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def r(expr: str, name: str) -> str:
     """SQL text of a rounded output column."""
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {name}"
+    return f"round(CAST({expr} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
 
 
 def r_all(*names: str, prefix: str = "") -> str:
