@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import q_domain, q_features, q_folds, q_sources  # noqa: F401
+from . import q_domain, q_encoders, q_features, q_folds, q_sources  # noqa: F401

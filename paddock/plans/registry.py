@@ -86,15 +86,18 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column, so that two engines' last bits do not matter."""
+    """Round every floating column, so that two engines' last bits do not matter.
+
+    The nudge settles exact halves, which a different order of summation would round either way.
+    """
     return df.select(*[
-        (F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
+        (F.round(F.col(c) + 1e-9, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
     ])
 
 
 def r(expr: str, name: str) -> str:
     """SQL text of a rounded output column."""
-    return f"round(CAST({expr} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) + CAST(1e-9 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
 
 
 def r_all(*names: str, prefix: str = "") -> str:
