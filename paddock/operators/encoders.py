@@ -7,19 +7,18 @@ edges, a list whose length is a parameter.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import _search, quantiles, with_avg_rank, with_position
+from .spread import search, quantiles, with_avg_rank, with_position
 
 
 def frequency(df: DataFrame, fit: DataFrame, columns: list[str], total: bool = True) -> DataFrame:
     """Add <col>_count, and <col>_freq when `total`, counted on `fit`; unseen values count 0."""
-    n = fit.agg(F.count("*").alias("_total")) if total else None
     for x in columns:
         counts = fit.groupBy(x).agg(F.count("*").alias(f"{x}_count"))
         df = df.join(counts, x, "left").withColumn(f"{x}_count", F.coalesce(f"{x}_count", F.lit(0).cast("long")))
     if not total:
         return df
-    df = df.crossJoin(F.broadcast(n))
-    return df.withColumns({f"{x}_freq": F.col(f"{x}_count") / F.col("_total") for x in columns}).drop("_total")
+    n = fit.agg(F.count("*")).scalar()
+    return df.withColumns({f"{x}_freq": F.col(f"{x}_count") / n for x in columns})
 
 
 def first_seen_codes(fit: DataFrame, column: str, out: str, key="id") -> DataFrame:
@@ -41,11 +40,11 @@ def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str, unseen:
 def cap_cardinality(df: DataFrame, fit: DataFrame, column: str, cap: int, out: str, other="__OTHER__") -> DataFrame:
     """Keep the cap-1 most frequent values when there are more than `cap`; the rest become one."""
     counts = fit.groupBy(column).agg(F.count("*").alias("_n"))
-    n_values = counts.agg(F.count("*").alias("_d"))
+    n_values = counts.agg(F.count("*")).scalar()
     keep = counts.orderBy(F.desc("_n"), column).limit(cap - 1).select(column, F.lit(True).alias("_keep"))
-    d = df.join(F.broadcast(keep), column, "left").crossJoin(F.broadcast(n_values))
-    kept = F.col("_keep").isNotNull() | (F.col("_d") <= cap)
-    return d.withColumn(out, F.when(kept, F.col(column)).otherwise(other)).drop("_keep", "_d")
+    kept = F.col("_keep").isNotNull() | (n_values <= cap)
+    d = df.join(F.broadcast(keep), column, "left")
+    return d.withColumn(out, F.when(kept, F.col(column)).otherwise(other)).drop("_keep")
 
 
 def long_form(df: DataFrame, columns: list[str], extra: list[str] = ()) -> DataFrame:
@@ -68,7 +67,7 @@ def fit_bins(fit: DataFrame, columns: list[str], n_bins: int) -> dict[str, list[
 
 def apply_bins(x: str, edges: list[float]) -> Column:
     """Left-closed bin index; values outside the fitted range fall in the outer bins."""
-    return _search(x, edges).cast("int")
+    return search(x, edges).cast("int")
 
 
 def group_stats(df: DataFrame, fit: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -103,16 +102,16 @@ def add_tyre_overdue_inductive(df: DataFrame, fit: DataFrame) -> DataFrame:
     """The same idea fitted on training rows only; unseen compounds use the global quantiles."""
     probs = {"50": 0.5, "75": 0.75, "90": 0.9}
     per = quantiles(fit, ["Compound"], "TyreLife", {f"_c{k}": p for k, p in probs.items()})
-    glob = quantiles(fit, [], "TyreLife", {f"_g{k}": p for k, p in probs.items()})
-    d = df.join(per, "Compound", "left").crossJoin(F.broadcast(glob))
-    q = {k: F.coalesce(f"_c{k}", f"_g{k}") for k in probs}
+    glob = quantiles(fit, [], "TyreLife", probs)
+    d = df.join(per, "Compound", "left")
+    q = {k: F.coalesce(F.col(f"_c{k}"), glob.select(k).scalar()) for k in probs}
     t = F.col("TyreLife")
     return d.withColumns({
         "tyre_overdue_p75": t - q["75"],
         "tyre_overdue_p90": t - q["90"],
         "tyre_life_ratio_p50": t / (q["50"] + 1e-6),
         "tyre_over_p90_flag": (t > q["90"]).cast("int"),
-    }).drop(*[f"_{s}{k}" for s in "cg" for k in probs])
+    }).drop(*[f"_c{k}" for k in probs])
 
 
 def percentile_map(fit: DataFrame, value: str, out: str) -> DataFrame:
@@ -123,13 +122,9 @@ def percentile_map(fit: DataFrame, value: str, out: str) -> DataFrame:
 
 def standard_scale(df: DataFrame, fit: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population std fitted on `fit`; a constant column is only centred."""
-    aggs = []
-    for x in columns:
-        aggs += [F.avg(x).alias(f"_m_{x}"), F.stddev_pop(x).alias(f"_s_{x}")]
-    d = df.crossJoin(F.broadcast(fit.agg(*aggs)))
-    std = lambda x: F.when(F.col(f"_s_{x}") > 0, F.col(f"_s_{x}")).otherwise(1.0)
-    return d.withColumns({f"{x}_z": (F.col(x) - F.col(f"_m_{x}")) / std(x) for x in columns}).drop(
-        *[f"_{p}_{x}" for p in "ms" for x in columns])
+    moments = fit.agg(*[F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias(x) for x in columns]).first()
+    scale = lambda x: (F.col(x) - moments[x]["m"]) / (moments[x]["s"] or 1.0)
+    return df.withColumns({f"{x}_z": scale(x) for x in columns})
 
 
 def winsorize(df: DataFrame, fit: DataFrame, columns: list[str], lo=0.005, hi=0.995) -> DataFrame:

@@ -30,19 +30,20 @@ def size_limit(df: DataFrame, keys: list[str]) -> int | None:
     return limit if (biggest or 0) > limit else None
 
 
-def _search(col: str, edges: list) -> Column:
-    """How many of the sorted edges are <= the value."""
+def search(col: str, edges: list, strict: bool = False) -> Column:
+    """How many of the sorted edges are <= the value (< the value when `strict`)."""
+    below = (lambda v: F.col(col) <= v) if strict else (lambda v: F.col(col) < v)
     if len(edges) <= 128:  # a balanced tree of comparisons
         def tree(lo: int, hi: int) -> Column:
             if lo == hi:
                 return F.lit(lo)
             mid = (lo + hi) // 2
-            return F.when(F.col(col) < F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+            return F.when(below(F.lit(edges[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
         return tree(0, len(edges))
     # two short scans over constant arrays
     step = isqrt(len(edges))
     full = len(edges) // step
-    upto = lambda a: F.size(F.filter(a, lambda v: v <= F.col(col)))
+    upto = lambda a: F.size(F.filter(a, lambda v: ~below(v)))
     coarse = upto(F.array(*[F.lit(edges[i * step - 1]) for i in range(1, full + 1)]))
     chunks = F.array(*[F.array(*[F.lit(v) for v in edges[i * step:(i + 1) * step]]) for i in range(full + 1)])
     return coarse * F.lit(step) + F.greatest(upto(F.get(chunks, coarse)), F.lit(0))
@@ -77,11 +78,11 @@ def spread(df: DataFrame, keys: list[str], order: list[str], limit: int) -> Data
     edges = sorted(set(first))
     x = F.col(order[0])
     # an edge value gets its own (even) half-range, so cutting it by order[1] keeps the order
-    at = _search(order[0], edges)
+    at = search(order[0], edges)
     code = 2 * at + F.when(x.isin(edges), 0).otherwise(1)
     if len(order) > 1:
         frequent = sorted({v for v in edges if bisect_right(first, v) - first.index(v) > 1})
-        sub = _search(order[1], sorted(set(_edges(part, order[1], n))))
+        sub = search(order[1], sorted(set(_edges(part, order[1], n))))
         code = code * F.lit(n) + F.when(x.isin(frequent), sub).otherwise(0)
     code = (code + 1).cast("long")
     if not keys:
@@ -130,7 +131,7 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], out: str) ->
 
 def with_group_size(t: DataFrame, keys: list[str], n: str, out: str) -> DataFrame:
     size = t.groupBy(*keys).agg(F.sum(n).alias(out))
-    return t.join(size, keys) if keys else t.crossJoin(F.broadcast(size))
+    return t.join(size, keys) if keys else t.withColumn(out, size.scalar())
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, limit: int | None = None) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs as ex
 from ..operators import folds as fo
-from ..operators.timeline import neighbours
 from ..sources.laps import RYD, TARGET, laps, oof, split_of
 from .registry import on_laps, query, r, rounded
 
@@ -75,14 +73,6 @@ def c6(spark, sf):
     return fo.pseudo_labels(oof(spark, sf), "oof_d", hi=0.8, lo=0.2).select("id", "pseudo")
 
 
-def noise_flags(d):
-    """Rows whose label disagrees with the stint change on the next row (see T5)."""
-    d = neighbours(d, RYD, "LapNumber", lambda w: {"_inc": F.lead("Stint").over(w) - F.col("Stint")}, ahead=1)
-    inc = F.coalesce("_inc", F.lit(0))
-    y = F.col(TARGET)
-    return d.withColumn("noisy", (((y == 1) & (inc == 0)) | ((y == 0) & (inc >= 1))).cast("int")).drop("_inc")
-
-
 @query("C7_subsample_flagged", on_laps(f"""
     SELECT id, fold, Is_Late AS flagged FROM (
       SELECT *, row_number() OVER (PARTITION BY fold, Is_Late ORDER BY {hash_sql(42)}, id) AS p,
