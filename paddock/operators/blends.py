@@ -46,12 +46,10 @@ def sorted_values(df: DataFrame, column: str, out: str, key="id") -> DataFrame:
     return with_position(df.select(key, column), [], [column, key], "_pos").select("_pos", F.col(column).alias(out))
 
 
-def onto_anchor(df: DataFrame, order: str, anchor: str, out: str, groups: list[str] = (), key="id") -> DataFrame:
-    """Give the i-th row in `order` (per group, ties by key) the i-th smallest anchor value."""
-    d = with_position(df, list(groups), [order, key], "_pos")
-    base = df if not groups else df.dropDuplicates([key])
-    values = sorted_values(base, anchor, out, key)
-    return d.join(values, "_pos").withColumn(out, clip(F.col(out), LOW, HIGH)).drop("_pos")
+def onto_anchor(df: DataFrame, order: str, anchor: str, out: str, key="id") -> DataFrame:
+    """Give the i-th row in `order` (ties by key) the i-th smallest anchor value."""
+    d = with_position(df, [], [order, key], "_pos").join(sorted_values(df, anchor, out, key), "_pos")
+    return d.withColumn(out, clip(F.col(out), LOW, HIGH)).drop("_pos")
 
 
 def add_unit_ranks(df: DataFrame, columns: list[str]) -> DataFrame:

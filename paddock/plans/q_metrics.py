@@ -1,11 +1,13 @@
 """Metrics and diagnostics over the prediction table."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import exprs as ex
 from ..operators import diagnostics as dg
-from ..operators import encoders as en
 from ..operators.auc import auc
+from ..operators.reports import tie_clusters
 from ..sources.laps import CATS, NUMS, laps, oof, split_of, table
 from .features import features
 from .q_features import FEATURE_CTES
@@ -181,7 +183,7 @@ def a8(spark, sf):
     return rounded(dg.decile_calibration(blend(oof(spark, sf))))
 
 
-PROFILE_NUM = [x for x in NUMS]
+PROFILE_NUM = NUMS
 GAPS = ["base_mean", "group_mean", "abs_gap", "rel_gap_pct"]
 
 
@@ -289,7 +291,6 @@ SEED_MODELS = {
 
 
 def as_double(sql: str) -> str:
-    import re
     return re.sub(r"(\d\.\d+)", r"CAST(\1 AS DOUBLE)", sql)
 
 
@@ -411,18 +412,4 @@ def a18(spark, sf):
     FROM ranked GROUP BY score HAVING count(*) > 1""")
 def a19(spark, sf):
     d = table(spark, sf, "customer").select("c_name", (F.round(F.col("c_acctbal") / 1000 + 1e-9, 0) + F.lit(0.0)).alias("score"))
-    clusters = tie_clusters(d, "c_name", "score")
-    return clusters
-
-
-def tie_clusters(d, name, score, first=5):
-    """Groups of equal scores: size, best rank and the first names."""
-    from ..operators.spread import value_ranks, with_position
-    from ..operators.spread import size_limit
-    ranks = value_ranks(d, [], score, size_limit(d, []))
-    ranks = ranks.where(F.col("n") > 1).select(
-        score, "n", (F.col("n_group") - F.col("n_below") - F.col("n") + 1).alias("best_rank"))
-    # two-phase first names: position inside the tie, then collect at most `first` of them
-    head = with_position(d, [score], [name], "_i").where(F.col("_i") <= first)
-    names = head.groupBy(score).agg(F.concat_ws(",", F.sort_array(F.collect_list(name))).alias("first_names"))
-    return ranks.join(names, score)
+    return tie_clusters(d, "c_name", "score")
