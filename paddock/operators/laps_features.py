@@ -1,7 +1,5 @@
 """Per-driver timeline, neighbour, stint and peer features."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,10 +92,10 @@ def typical_stint(stints: DataFrame) -> DataFrame:
     )
 
 
-def compound_life(stints: DataFrame, p=0.95) -> DataFrame:
+def compound_life(stints: DataFrame, p=0.95, method="linear") -> DataFrame:
     return quantiles(
         stints.withColumnRenamed("stint_compound", "Compound"), ["Compound"], "stint_length",
-        {"compound_max_life": p},
+        {"compound_max_life": p}, method=method,
     )
 
 
@@ -116,11 +114,7 @@ def tyre_life_columns() -> dict:
 
 
 def stint_start_pace(df: DataFrame, first=3) -> DataFrame:
-    """Mean lap time of a stint's first laps.
-
-    Only the first rows of each stint are kept (two-phase, so a long stint is never one task's
-    sort): rows are positioned in the stint, then averaged.
-    """
+    """Mean lap time of a stint's first observed laps."""
     pos = with_position(df.select(*STINT, "LapNumber", "LapTime"), STINT, ["LapNumber"], "_i")
     return pos.where(F.col("_i") <= first).groupBy(*STINT).agg(F.avg("LapTime").alias("stint_start_pace"))
 
@@ -137,7 +131,3 @@ def flag_columns() -> dict:
         "is_2023": (F.col("Year") == 2023).cast("int"),
         "lap_is_anomalous": (F.col("LapTime") > F.col("field_median_laptime") * 1.5).cast("int"),
     }
-
-
-def chain(df: DataFrame, *steps) -> DataFrame:
-    return reduce(lambda d, f: d.transform(f), steps, df)

@@ -19,15 +19,23 @@ RNG = "_rng"
 UNBOUNDED = Window.unboundedPreceding
 
 
-def size_limit(df: DataFrame, keys: list[str]) -> int | None:
-    """Rows a group may have in one task, or None if no group exceeds it."""
-    spark = df.sparkSession
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(rows of the largest group, rows in all): one aggregate over the key columns."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     biggest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    limit = hot_rows(spark)
+    return biggest or 0, total or 0
+
+
+def size_limit(df: DataFrame, keys: list[str], sizes: tuple[int, int] | None = None) -> int | None:
+    """Rows a group may have in one sorted task, or None if no group exceeds it.
+
+    With keys the limit is at least the fair share, so that few groups can be above it.
+    """
+    biggest, total = sizes or group_sizes(df, keys)
+    limit = hot_rows(df.sparkSession)
     if keys:
-        limit = max(limit, ceil((total or 0) / n_ranges(spark)))
-    return limit if (biggest or 0) > limit else None
+        limit = max(limit, ceil(total / n_ranges(df.sparkSession)))
+    return limit if biggest > limit else None
 
 
 def search(col: str, edges: list, strict: bool = False) -> Column:
@@ -182,14 +190,14 @@ def quantiles(
     interpolates. `method="nearest"` takes the closer of the two instead.
     """
     d = df.where(F.col(value).isNotNull())
-    limit = size_limit(d, keys)
-    if limit is None and method == "linear":
+    sizes = group_sizes(d, keys)
+    if sizes[0] <= hot_rows(df.sparkSession) and method == "linear":
         p = F.percentile(value, list(probs.values()), F.col(weight) if weight else 1).alias("_q")
         g = d.groupBy(*keys).agg(p)
         return g.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
     size_of = F.sum(weight) if weight else F.count("*")
     t = d.groupBy(*keys, value).agg(size_of.alias("_n"))
-    p = prefix_sums(with_group_size(t, keys, "_n", "_size"), keys, value, ["_n"], limit)
+    p = prefix_sums(with_group_size(t, keys, "_n", "_size"), keys, value, ["_n"], size_limit(d, keys, sizes))
     below, n = F.col("_n_below"), F.col("_n")
     hits, picks = [], []
     for name, q in probs.items():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import field as fl
 from ..operators import laps_features as lf
 from ..session import staged
-from ..sources.laps import R, RY, RYD, RYL, combined
+from ..sources.laps import R, RY, RYL, combined
 
 TIMELINE = [
     "pit_stops_last_3", "pit_stops_last_5", "laptime_roll_mean_3", "laptime_roll_mean_5",
@@ -29,17 +29,17 @@ FEATURES = [
 ]
 
 
-def build_features(laps: DataFrame, cut) -> DataFrame:
+def build_features(laps: DataFrame, cut, method: str = "linear") -> DataFrame:
     """Engineer every feature; `cut(name, build)` stages the tables that are read more than once.
 
-    Everything that is constant on a lap is computed on the lap table (one row per race lap) and
+    `method` is the quantile flavour of the pace baseline, tyre life and pit window. Everything that is constant on a lap is computed on the lap table (one row per race lap) and
     reaches the rows in a single join; everything along a driver's timeline shares one window.
     """
     field = cut("lap_field", lambda: fl.lap_table(laps))
-    lap = cut("lap_level", lambda: field.transform(fl.add_pace_ratio).transform(fl.add_sc_history))
+    lap = cut("lap_level", lambda: fl.add_sc_history(fl.add_pace_ratio(field, method=method)))
     lap = lap.transform(fl.add_pit_share_history)
     lap = lap.join(fl.race_level(laps), RY).join(fl.expected_stops(laps), RY)
-    lap = lap.join(fl.pit_cost(laps), R, "left").join(fl.pit_window(laps), R, "left")
+    lap = lap.join(fl.pit_cost(laps), R, "left").join(fl.pit_window(laps, method=method), R, "left")
 
     peers = {"TyreLife": "tyre_age_pct_among_compound_peers"}
     ranked = lf.add_peer_rank(laps, [*RYL, "Compound"], peers)
@@ -48,9 +48,10 @@ def build_features(laps: DataFrame, cut) -> DataFrame:
     d = timeline.join(lap, RYL)
     d = fl.add_leave_one_out_share(d, RYL, "PitStop", "field_pit_share")
     d = d.join(lf.neighbour_pits(timeline), [*RYL, "Position"], "left")
-    d = d.join(lf.stint_start_pace(laps), lf.STINT, "left").join(lf.previous_stint(stints), lf.STINT, "left")
+    per_stint = lf.stint_start_pace(laps).join(lf.previous_stint(stints), lf.STINT, "left")
+    d = d.join(per_stint, lf.STINT, "left")
     d = d.join(lf.typical_stint(stints), ["Compound", "Race"], "left")
-    d = d.join(lf.compound_life(stints), ["Compound"], "left")
+    d = d.join(lf.compound_life(stints, method=method), ["Compound"], "left")
     d = d.withColumn("LapsRemaining", F.col("total_laps_year") - F.col("LapNumber"))
     d = d.withColumns({
         **lf.tyre_life_columns(),

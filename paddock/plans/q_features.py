@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import field as fl
 from ..operators import laps_features as lf
-from ..sources.laps import R, RY, RYD, RYL, combined
+from ..sources.laps import R, RY, RYL, combined
 from .features import FEATURES, features
 from .registry import on_laps, query, r, r_all, rounded
 
@@ -364,6 +364,34 @@ def f29(spark, sf):
     return on_lap(d, lap, *F29)
 
 
+def nearest(x: str, q: float) -> str:
+    """SQL of the order statistic closest to a quantile."""
+    return f"list_sort(list({x}))[CAST(round((count(*) - 1) * CAST({q} AS DOUBLE)) AS INT) + 1]"
+
+
+# the same three features with nearest order statistics in place of interpolated quantiles
+@query("F5_pace_ratio_nearest", on_laps(f"""
+    SELECT id, {r('field_median_laptime / q', 'field_pace_ratio')}, CAST(field_median_laptime > q * 1.15 AS INT) AS sc_likely
+    FROM comb JOIN field USING (Race, Year, LapNumber) JOIN (SELECT Race, Year, {nearest('field_median_laptime', 0.25)} AS q
+      FROM comb JOIN field USING (Race, Year, LapNumber) GROUP BY Race, Year) USING (Race, Year)""", FIELD))
+def f5_nearest(spark, sf):
+    d = combined(spark, sf)
+    return on_lap(d, fl.add_pace_ratio(fl.lap_table(d), method="nearest"), "field_pace_ratio", "sc_likely")
+
+
+@query("F16_compound_life_nearest", on_laps(f"""
+    SELECT stint_compound AS Compound, {r(nearest('stint_length', 0.95), 'compound_max_life')} FROM stints GROUP BY 1""", STINTS))
+def f16_nearest(spark, sf):
+    return rounded(lf.compound_life(lf.completed_stints(combined(spark, sf)), method="nearest"))
+
+
+@query("F18_pit_window_nearest", on_laps(f"""
+    SELECT Race, {r(nearest('LapNumber', 0.05), 'pit_window_start')}, {r(nearest('LapNumber', 0.95), 'pit_window_end')}
+    FROM comb WHERE PitStop = 1 GROUP BY Race"""))
+def f18_nearest(spark, sf):
+    return rounded(fl.pit_window(combined(spark, sf), method="nearest"))
+
+
 RAW = ["id", "Driver", "Compound", "Race", "Year", "PitStop", "LapNumber", "Stint", "TyreLife", "Position", "split"]
 
 
