@@ -125,7 +125,7 @@ def prefix_sums(t: DataFrame, keys: list[str], order: str, cols: list[str], limi
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Exact 1-based row number in the group; `order` must be unique in it."""
+    """Exact 1-based row number in the group; `order` must be unique in it and not null."""
     limit = size_limit(df, keys)
     if limit is None:
         w = Window.partitionBy(*keys).orderBy(*order)

@@ -32,8 +32,9 @@ FEATURES = [
 def build_features(laps: DataFrame, cut, method: str = "linear") -> DataFrame:
     """Engineer every feature; `cut(name, build)` stages the tables that are read more than once.
 
-    `method` is the quantile flavour of the pace baseline, tyre life and pit window. Everything that is constant on a lap is computed on the lap table (one row per race lap) and
-    reaches the rows in a single join; everything along a driver's timeline shares one window.
+    `method` is the quantile flavour of the pace baseline, tyre life and pit window. Everything that
+    is constant on a lap is computed on the lap table (one row per race lap) and reaches the rows in
+    a single join; everything along a driver's timeline shares one window.
     """
     field = cut("lap_field", lambda: fl.lap_table(laps))
     lap = cut("lap_level", lambda: fl.add_sc_history(fl.add_pace_ratio(field, method=method)))
