@@ -17,9 +17,9 @@ def unit_hash(seed, key="id") -> Column:
     return hash_key(seed, key) / F.lit(float(2 ** 52))
 
 
-def stratified_folds(df: DataFrame, strata: list[str], k=5, seed=42, key="id", out="fold") -> DataFrame:
+def stratified_folds(df: DataFrame, strata: list[str], k=5, seed=42, key="id", out="fold", reread=False) -> DataFrame:
     """Shuffle each stratum by the hash and deal its rows to the folds in turn."""
-    d = with_position(df.withColumn("_h", hash_key(seed, key)), strata, ["_h", key], "_p")
+    d = with_position(df.withColumn("_h", hash_key(seed, key)), strata, ["_h", key], "_p", reread)
     return d.withColumn(out, ((F.col("_p") - 1) % k).cast("int")).drop("_h", "_p")
 
 

@@ -50,8 +50,8 @@ def add_timeline(df: DataFrame, names: list[str], keys=RYD, pos="LapNumber") ->
     return out if "laptime_accel_3" in names else out.drop("laptime_accel_3")
 
 
-def add_pits_so_far(df: DataFrame, keys=RYD, pos="LapNumber") -> DataFrame:
-    return running(df, keys, pos, {"pits_so_far_this_race": ("sum", F.col("PitStop"))})
+def add_pits_so_far(df: DataFrame, keys=RYD, pos="LapNumber", reread=True) -> DataFrame:
+    return running(df, keys, pos, {"pits_so_far_this_race": ("sum", F.col("PitStop"))}, reread=reread)
 
 
 def neighbour_pits(df: DataFrame, cells=(*RYL, "Position")) -> DataFrame:
@@ -115,7 +115,7 @@ def tyre_life_columns() -> dict:
 
 def stint_start_pace(df: DataFrame, first=3) -> DataFrame:
     """Mean lap time of a stint's first observed laps."""
-    pos = with_position(df.select(*STINT, "LapNumber", "LapTime"), STINT, ["LapNumber"], "_i")
+    pos = with_position(df.select(*STINT, "LapNumber", "LapTime"), STINT, ["LapNumber"], "_i", reread=True)
     return pos.where(F.col("_i") <= first).groupBy(*STINT).agg(F.avg("LapTime").alias("stint_start_pace"))
 
 

@@ -26,7 +26,7 @@ def add_forward(df: DataFrame, keys=RYD, pos="LapNumber") -> DataFrame:
 def add_stint_lags(df: DataFrame, columns: list[str], keys=(*RYD, "Stint"), order="LapNumber") -> DataFrame:
     """Previous two values, change to the previous one, and laps done, inside one stint only."""
     keys = list(keys)
-    d = with_position(df, keys, [order], "_pos")
+    d = with_position(df, keys, [order], "_pos", reread=True)
     def make(w):
         out = {}
         for x in columns:
@@ -65,7 +65,7 @@ def add_history(df: DataFrame) -> DataFrame:
 def next_event(df: DataFrame, keys=RYD, race=RY, pos="LapNumber", event="PitStop") -> DataFrame:
     """Laps to the next strictly later event, censored at the end of the race, and its rank."""
     d = running(df, keys, pos, {"next_pit_lap": ("min", F.when(F.col(event) == 1, F.col(pos)))},
-                include_current=False, reverse=True)
+                include_current=False, reverse=True, reread=True)
     d = d.join(df.groupBy(*race).agg(F.max(pos).alias("_last")), race)
     censor = F.greatest(F.col("_last") - F.col(pos) + 1, F.lit(1))
     d = d.withColumns({
@@ -77,7 +77,7 @@ def next_event(df: DataFrame, keys=RYD, race=RY, pos="LapNumber", event="PitStop
 
 def add_label_noise(df: DataFrame, keys=RYD, order="LapNumber", target=TARGET) -> DataFrame:
     """Flag rows whose label disagrees with the stint change on the next sampled row."""
-    d = with_position(df, keys, [order], "_pos")
+    d = with_position(df, keys, [order], "_pos", reread=True)
     d = neighbours(d, keys, "_pos", lambda w: {"_inc": F.lead("Stint").over(w) - F.col("Stint")}, ahead=1)
     inc, y = F.coalesce("_inc", F.lit(0)), F.col(target)
     noisy = ((y == 1) & (inc == 0)) | ((y == 0) & (inc >= 1))

@@ -53,7 +53,8 @@ def search(col: str, edges: list, strict: bool = False) -> Column:
     full = len(edges) // step
     upto = lambda a: F.size(F.filter(a, lambda v: ~below(v)))
     coarse = upto(F.array(*[F.lit(edges[i * step - 1]) for i in range(1, full + 1)]))
-    chunks = F.array(*[F.array(*[F.lit(v) for v in edges[i * step:(i + 1) * step]]) for i in range(full + 1)])
+    chunks = F.array(*[F.array(*[F.lit(v) for v in edges[i:i + step]]) for i in range(0, len(edges), step)])
+    # past the last chunk there is nothing left to count
     return coarse * F.lit(step) + F.greatest(upto(F.get(chunks, coarse)), F.lit(0))
 
 
@@ -124,13 +125,17 @@ def prefix_sums(t: DataFrame, keys: list[str], order: str, cols: list[str], limi
     return out.drop(RNG, *[f"_off_{c}" for c in cols])
 
 
-def with_position(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Exact 1-based row number in the group; `order` must be unique in it and not null."""
+def with_position(df: DataFrame, keys: list[str], order: list[str], out: str, reread: bool = False) -> DataFrame:
+    """Exact 1-based row number in the group; `order` must be unique in it and not null.
+
+    Set `reread` if df is a table or a projection of one: a hot group then makes it be read again
+    rather than written first.
+    """
     limit = size_limit(df, keys)
     if limit is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
-    s = spread(cut(df), keys, order, limit)
+    s = spread(df if reread else cut(df), keys, order, limit)
     w = Window.partitionBy(*keys, RNG).orderBy(*order)
     d = s.withColumn(out, F.row_number().over(w)).join(
         offsets(s, keys, {"n": F.count("*")}), [*keys, RNG], "left")
@@ -186,7 +191,7 @@ def quantiles(
     """Exact quantiles per group.
 
     `percentile` keeps every distinct value of a group in one buffer, so it serves small groups
-    only; beyond that a row is kept only if it is one of the two order statistics a quantile
+    only; beyond that a row is kept only if it is one of the two order statistics that some quantile
     interpolates. `method="nearest"` takes the closer of the two instead.
     """
     d = df.where(F.col(value).isNotNull())
@@ -198,24 +203,17 @@ def quantiles(
     size_of = F.sum(weight) if weight else F.count("*")
     t = d.groupBy(*keys, value).agg(size_of.alias("_n"))
     p = prefix_sums(with_group_size(t, keys, "_n", "_size"), keys, value, ["_n"], size_limit(d, keys, sizes))
-    below, n = F.col("_n_below"), F.col("_n")
-    hits, picks = [], []
-    for name, q in probs.items():
-        pos = (F.col("_size") - 1) * F.lit(float(q))
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (below <= at) & (at < below + n)
-            hits.append(hit)
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
-        picks.append(F.max(pos - F.floor(pos)).alias(f"_{name}_frac"))
-    any_hit = hits[0]
-    for h in hits[1:]:
-        any_hit = any_hit | h
-    g = p.where(any_hit).groupBy(*keys).agg(*picks)
-
-    def value_of(name: str) -> Column:
-        lo, hi, frac = (F.col(f"_{name}_{s}").cast("double") for s in ("lo", "hi", "frac"))
-        if method == "nearest":
-            return F.when(frac < 0.5, lo).otherwise(hi)
-        return lo + (hi - lo) * frac
-
-    return g.select(*keys, *[value_of(name).alias(name) for name in probs])
+    # per row, the quantiles whose position falls on (or right beside) its run of equal values
+    at = F.transform(F.array(*[F.lit(float(q)) for q in probs.values()]), lambda q, i: F.struct(
+        i.alias("i"), ((F.col("_size") - 1) * q).alias("pos")))
+    first, end = F.col("_n_below"), F.col("_n_below") + F.col("_n")
+    hits = F.filter(at, lambda t: (F.floor(t["pos"]) < end) & (F.ceil(t["pos"]) >= first))
+    h = p.withColumn("_t", F.explode(hits)).select(*keys, value, first.alias("_from"), end.alias("_to"), "_t.*")
+    pick = lambda side: F.max(F.when((side >= F.col("_from")) & (side < F.col("_to")), F.col(value))).cast("double")
+    v = h.groupBy(*keys, "i").agg(
+        pick(F.floor("pos")).alias("lo"), pick(F.ceil("pos")).alias("hi"), F.max(F.col("pos") - F.floor("pos")).alias("frac"))
+    lo, hi, frac = F.col("lo"), F.col("hi"), F.col("frac")
+    mixed = F.when(frac < 0.5, lo).otherwise(hi) if method == "nearest" else lo + (hi - lo) * frac
+    # one entry per requested quantile
+    g = v.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", mixed.alias("q")))).alias("_q"))
+    return g.select(*keys, *[F.try_element_at("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])

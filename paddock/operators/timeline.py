@@ -39,12 +39,12 @@ def neighbours(df: DataFrame, keys: list[str], pos: str, make, back: int = 0, ah
 
 def running(
     df: DataFrame, keys: list[str], pos: str, features: dict[str, tuple[str, Column]],
-    include_current: bool = True, reverse: bool = False,
+    include_current: bool = True, reverse: bool = False, reread: bool = False,
 ) -> DataFrame:
     """Add running "sum", "min" or "max" of an expression from the group's first row on.
 
     With `reverse` the frame runs from the last row back. Excluding the current row leaves null
-    where the frame is empty.
+    where the frame is empty. Set `reread` if df is a table or a projection of one.
     """
     aggs = {"sum": F.sum, "min": F.min, "max": F.max}
     size = block_rows(df.sparkSession)
@@ -54,7 +54,7 @@ def running(
     if longest <= size:
         w = Window.partitionBy(*keys).orderBy(o(pos)).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({c: aggs[fn](e).over(w) for c, (fn, e) in features.items()})
-    d = cut(df).withColumn(BLK, F.floor((F.col(pos).cast("long") - 1) / size))
+    d = (df if reread else cut(df)).withColumn(BLK, F.floor((F.col(pos).cast("long") - 1) / size))
     w = Window.partitionBy(*keys, BLK).orderBy(o(pos)).rowsBetween(Window.unboundedPreceding, end)
     before = Window.partitionBy(*keys).orderBy(o(BLK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = d.groupBy(*keys, BLK).agg(*[aggs[fn](e).alias(f"_t_{c}") for c, (fn, e) in features.items()])

@@ -43,8 +43,8 @@ def build_features(laps: DataFrame, cut, method: str = "linear") -> DataFrame:
     lap = lap.join(fl.pit_cost(laps), R, "left").join(fl.pit_window(laps, method=method), R, "left")
 
     peers = {"TyreLife": "tyre_age_pct_among_compound_peers"}
-    ranked = lf.add_peer_rank(laps, [*RYL, "Compound"], peers)
-    timeline = cut("lap_timeline", lambda: lf.add_pits_so_far(lf.add_timeline(ranked, TIMELINE)))
+    ranked = lf.add_peer_rank(lf.add_pits_so_far(laps), [*RYL, "Compound"], peers)
+    timeline = cut("lap_timeline", lambda: lf.add_timeline(ranked, TIMELINE))
     stints = cut("completed_stints", lambda: lf.completed_stints(laps))
     d = timeline.join(lap, RYL)
     d = fl.add_leave_one_out_share(d, RYL, "PitStop", "field_pit_share")

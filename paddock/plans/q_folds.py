@@ -25,11 +25,11 @@ OOF_FOLDED = ("oof_folded", fold_sql("Year, target", "oof"))
 
 
 def folded(spark, sf):
-    return fo.stratified_folds(split_of(spark, sf, "train"), ["Year", TARGET])
+    return fo.stratified_folds(split_of(spark, sf, "train"), ["Year", TARGET], reread=True)
 
 
 def oof_folded(spark, sf):
-    return fo.stratified_folds(oof(spark, sf), ["Year", "target"])
+    return fo.stratified_folds(oof(spark, sf), ["Year", "target"], reread=True)
 
 
 @query("C1_stratified_folds", on_laps("SELECT id, fold FROM folded", FOLDED))

@@ -52,7 +52,7 @@ def build_laps(events: DataFrame, cut) -> DataFrame:
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("PitStop"),
     )
     user = ["user_id"]
-    order = with_position(d, user, ["ts", "id"], "LapNumber")
+    order = with_position(d, user, ["ts", "id"], "LapNumber", reread=True)
     d = cut("lap_order", lambda: order.withColumn("LapNumber", F.col("LapNumber").cast("int")).drop("ts"))
     d = neighbours(d, user, "LapNumber", lambda w: {
         "_pv": F.lag("value").over(w),
@@ -71,7 +71,7 @@ def build_laps(events: DataFrame, cut) -> DataFrame:
     }).drop("_pits", "_stint", "_start")
     d = cut("lap_stints", lambda: stints)
     longest = d.groupBy("race_k", "Year").agg(F.max("LapNumber").alias("mx"))
-    d = with_position(d, ["race_k", "Year", "LapNumber"], ["value", "id"], "_p")
+    d = with_position(d, ["race_k", "Year", "LapNumber"], ["value", "id"], "_p", reread=True)
     d = d.withColumn("Position", (1 + (F.col("_p") - 1) % 20).cast("int"))
     d = neighbours(d, user, "LapNumber", lambda w: {"_pp": F.lag("Position").over(w)}, back=1)
     d = d.join(longest, ["race_k", "Year"])

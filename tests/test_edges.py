@@ -13,7 +13,7 @@ from paddock.operators import folds as fo
 from paddock.operators import laps_features as lf
 from paddock.operators import target_stats as ts
 from paddock.operators.auc import auc
-from paddock.operators.spread import quantiles, with_avg_rank, with_position
+from paddock.operators.spread import quantiles, search, with_avg_rank, with_position
 from paddock.operators.timeline import neighbours
 from paddock.sources import scans
 
@@ -171,3 +171,13 @@ def test_null_compound_rows_keep_their_features(spark):
     d = spark.createDataFrame([(1, None, 5.0), (2, "SOFT", 6.0)], "id int, Compound string, TyreLife double").withColumn("RaceProgress", F.lit(0.5))
     out = {r["id"]: r["NormTyreLife"] for r in d.withColumns(ex.compound_age()).collect()}
     assert out == {1: 5.0 / 17, 2: 6.0 / 14}
+
+
+@pytest.mark.parametrize("n", [3, 128, 129, 144, 200, 256])
+def test_edge_search_of_any_length(spark, n):
+    edges = [float(2 * i) for i in range(n)]
+    d = spark.range(-1, 2 * n + 1).select(F.col("id").cast("double").alias("x"))
+    rows = d.select("x", search("x", edges).alias("a"), search("x", edges, strict=True).alias("b")).collect()
+    for r in rows:
+        assert r["a"] == sum(e <= r["x"] for e in edges)
+        assert r["b"] == sum(e < r["x"] for e in edges)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from paddock.operators import spread as sp
 from paddock.operators.auc import auc
+from paddock.operators.encoders import fit_bins
 from paddock.sources.laps import build_laps, table
 from tests.conftest import SF
 from tools.check import compare
@@ -88,3 +89,11 @@ def test_quantiles_of_a_hot_group(tight, con, skewed):
     d = sp.quantiles(skewed, ["k"], "v", probs).select("k", *[F.round(c, 9).alias(c) for c in probs])
     same(tight, con, d, "SELECT k, " + ", ".join(f"round(quantile_cont(v, {q}), 9) AS {n}" for n, q in probs.items())
          + " FROM skewed GROUP BY k")
+
+
+def test_many_quantiles_of_a_hot_group(tight, con, skewed):
+    d = tight.createDataFrame([(i, e) for i, e in enumerate(fit_bins(skewed, ["event_id"], 200)["event_id"])], "i int, e double")
+    qs = ", ".join(str(i / 200) for i in range(1, 200))
+    same(tight, con, d.select("i", F.round("e", 6).alias("e")),
+         f"""SELECT CAST(row_number() OVER (ORDER BY e) - 1 AS INT) AS i, round(e, 6) AS e FROM (
+         SELECT unnest(quantile_cont(CAST(event_id AS DOUBLE), [{qs}])) AS e FROM skewed)""")
