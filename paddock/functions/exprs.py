@@ -219,3 +219,9 @@ def sigmoid(x: Column) -> Column:
 def log_loss_row(y: Column, p: Column, eps=1e-7) -> Column:
     q = clip(p, eps, 1 - eps)
     return -(y * F.log(q) + (1.0 - y) * F.log(1.0 - q))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows with both values; null, not an error, for a constant column."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import log_loss_row
+from ..functions.exprs import correlation, log_loss_row
 from .auc import auc
 from .encoders import fit_bins
 from .spread import quantiles, search, with_avg_rank, with_position
@@ -41,7 +41,7 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of every pair, as (a, b, rho): ranks once, then one aggregate."""
     ranked = with_avg_rank(df.select(*columns), [], {c: f"r_{c}" for c in columns}, "raw")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = ranked.agg(*[F.corr(f"r_{a}", f"r_{b}").alias(f"{a}|{b}") for a, b in pairs])
+    row = ranked.agg(*[correlation(F.col(f"r_{a}"), F.col(f"r_{b}")).alias(f"{a}|{b}") for a, b in pairs])
     long = row.unpivot([], row.columns, "pair", "rho")
     part = F.split("pair", r"\|")
     return long.select(part[0].alias("a"), part[1].alias("b"), "rho")
@@ -120,7 +120,7 @@ def disagreement_groups(df: DataFrame, a: str, b: str, q=0.95) -> DataFrame:
 
 def residual_correlations(df: DataFrame, features: list[str], score="score", label="target") -> DataFrame:
     res = F.col(label) - F.col(score)
-    row = df.agg(*[F.corr(F.col(x).cast("double"), res).alias(x) for x in features])
+    row = df.agg(*[correlation(F.col(x).cast("double"), res).alias(x) for x in features])
     return row.unpivot([], row.columns, "feature", "corr")
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import correlation
 from .encoders import column_quantiles, long_form
 from .spread import quantiles, search, size_limit, value_ranks, with_position
 
@@ -47,7 +48,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Full correlation matrix (upper triangle) from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     x = lambda c: F.col(c).cast("double")
-    row = df.agg(*[F.corr(x(a), x(b)).alias(f"{a}|{b}") for a, b in pairs])
+    row = df.agg(*[correlation(x(a), x(b)).alias(f"{a}|{b}") for a, b in pairs])
     part = F.split("pair", r"\|")
     return row.unpivot([], row.columns, "pair", "corr").select(part[0].alias("a"), part[1].alias("b"), "corr")
 

@@ -380,7 +380,7 @@ def b23(spark, sf):
         F.max_by("grid_w", F.struct("auc", -F.col("grid_w"))).alias("best_w"), F.max("auc").alias("best_auc"))
     alone = x.where(F.col("grid_w") == 0)
     ranks = with_avg_rank(alone, ["subset"], {"s": "_rs", "oof_a": "_ra"}, "raw")
-    rho = ranks.groupBy("subset").agg(F.corr("_rs", "_ra").alias("rank_corr"))
+    rho = ranks.groupBy("subset").agg(ex.correlation(F.col("_rs"), F.col("_ra")).alias("rank_corr"))
     whole = a.where(F.col("subset") == "+".join(MEMBERS)).agg(F.max("auc")).scalar()
     return rounded(best.join(rho, "subset").withColumn("delta", F.col("best_auc") - whole))
 

@@ -273,7 +273,8 @@ def a12(spark, sf):
     a = auc(dg.long_scores(d, ["tyre", "pace", "progress"], ["split", "Race", "target"]), ["split", "Race", "base"], "score", "target")
     side = lambda s: F.max(F.when(F.col("split") == s, F.col("auc"))).alias(f"{s}_auc")
     pairs = a.groupBy("Race", "base").agg(side("train"), side("test"))
-    line = pairs.agg(F.regr_slope("test_auc", "train_auc").alias("slope"), F.regr_intercept("test_auc", "train_auc").alias("b")).first()
+    slope = F.try_divide(F.covar_pop("test_auc", "train_auc"), F.var_pop("train_auc"))
+    line = pairs.dropna().agg(slope.alias("slope"), (F.avg("test_auc") - slope * F.avg("train_auc")).alias("b")).first()
     res = F.col("test_auc") - (line["slope"] * F.col("train_auc") + line["b"])
     spread_of = pairs.agg(F.stddev_pop(res)).scalar()
     return rounded(pairs.groupBy("base").agg(F.avg(res).alias("mean_residual")).select(

@@ -181,3 +181,9 @@ def test_edge_search_of_any_length(spark, n):
     for r in rows:
         assert r["a"] == sum(e <= r["x"] for e in edges)
         assert r["b"] == sum(e < r["x"] for e in edges)
+
+
+def test_correlation_with_a_constant_is_null(spark):
+    d = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.5, 5.0), (3.0, 5.0, 5.0), (None, 9.0, 5.0)], "a double, b double, c double")
+    row = d.agg(ex.correlation(F.col("a"), F.col("b")).alias("ab"), ex.correlation(F.col("a"), F.col("c")).alias("ac")).first()
+    assert row["ab"] == pytest.approx(0.9332565252573828) and row["ac"] is None
