@@ -1,7 +1,6 @@
 """Blend operators, sweeps and weight searches."""
 
 import random
-from itertools import product
 
 import numpy as np
 from pyspark.sql import functions as F

@@ -6,10 +6,10 @@ from ..functions import exprs as ex
 from ..operators import encoders as en
 from ..operators import target_stats as ts
 from ..operators.folds import stratified_folds
-from ..sources.laps import CATS, NUMS, RYD, TARGET, laps, split_of
+from ..sources.laps import CATS, RYD, TARGET, laps, split_of
 from .q_domain import WITH_BINS, cross_sql
 from .q_folds import FOLDED, fold_sql, folded
-from .registry import on_laps, query, r, r_all, rounded
+from .registry import on_laps, query, r, rounded
 
 
 def count_sql(columns, fit: str, freq: bool) -> str:

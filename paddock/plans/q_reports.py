@@ -4,17 +4,16 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as ex
 from ..operators import field as fl
-from ..operators import laps_features as lf
 from ..operators import reports as rp
 from ..operators import rows as ro
 from ..operators.encoders import column_quantiles, long_form
 from ..operators.folds import pseudo_labels
 from ..operators.spread import quantiles
-from ..sources.laps import CATS, LAP_SCHEMA, NUMS, RY, RYD, RYL, TARGET, combined, laps, oof, split_of
+from ..sources.laps import CATS, LAP_SCHEMA, NUMS, RYD, RYL, TARGET, combined, oof, split_of
 from .features import features
-from .q_features import COST, FEATURE_CTES, FIELD, LOO, PACE
+from .q_features import FEATURE_CTES, FIELD, LOO, PACE
 from .q_folds import FOLDED, folded
-from .registry import on_laps, query, r, r_all, rounded
+from .registry import on_laps, query, r, rounded
 
 COLS = LAP_SCHEMA.names
 

@@ -10,7 +10,6 @@ from paddock.operators import diagnostics as dg
 from paddock.operators import encoders as en
 from paddock.operators import field as fl
 from paddock.operators import folds as fo
-from paddock.operators import laps_features as lf
 from paddock.operators import target_stats as ts
 from paddock.operators.auc import auc
 from paddock.operators.spread import quantiles, search, with_avg_rank, with_position

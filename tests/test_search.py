@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from paddock.operators import search as se
 from paddock.sources.laps import oof
-from tests.conftest import SF
 
 SMALL = "/root/testdata/sf0.001"
 DAC = ["oof_d", "oof_a", "oof_c"]
