@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import decontamination, mixing, ngram_join, pii, quality_rules
+from paddock.llm import decontamination, licenses, lm_mixing, mixing, ngram_join, pii, quality_fm, quality_rules, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,33 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
+def with_edits(docs: DataFrame) -> DataFrame:
+    """Three edits of every document, made from its own columns: a cut in the first third, a note in the middle, the source at the end."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    third, half = (n / 3).cast("int"), (n / 2).cast("int")
+    edit = lambda a, b, t: F.struct(a.alias("start"), b.alias("stop"), t.alias("text"))
+    return docs.withColumn("edits", F.array(
+        edit(third, third + 12, F.lit("")), edit(half, half, F.concat(F.lit(" [seen "), F.coalesce("lang", F.lit("?")), F.lit("] "))),
+        edit(n + 100, n + 100, F.concat(F.lit("\n"), F.coalesce("source", F.lit("?"))))))
+
+
+def op1_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs, trusted(spark, sf_dir)).drop("text")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(with_edits(_table(spark, sf_dir, "documents")))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -28,15 +50,25 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_spans(_table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, score) of every document and item at or above the threshold."""
     found = decontamination.aligned(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.where(F.col("score") >= decontamination.THRESHOLD).withColumnRenamed("_key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_ngram_join, op6_pii, op8_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_lm_mixing, op2_quality_rules, op3_licenses, op4_token_counts, op5_ngram_join, op6_pii, op7_url_filter, op8_mixing, op9_quality_fm, op10_decontamination)}
+#: Hashing, alignment, learned models and tokenizers have no SQL text; tests/llm hold these queries against brute force.
 ORACLES: dict[str, str] = {}
