@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.batches import map_texts, ngram_hashes, tokens_in, word_hashes
+from paddock.llm.batches import bounded_broadcast, map_texts, ngram_hashes, tokens_in, word_hashes
 from paddock.llm.components import components
 from paddock.session import cut
 
@@ -36,6 +36,8 @@ RECALL = 0.999
 #: A block of a candidate group holds at most so many nodes and so many shingles.
 BLOCK_NODES = 800
 BLOCK_SHINGLES = 1_000_000
+#: A plan of blocks up to this many nodes is broadcast to the shingle sets; a larger one is joined by shuffle.
+BROADCAST_ROWS = 400_000
 #: Nodes and shingles whose overlap matrix is built at once.
 _CHUNK = 2048
 
@@ -77,32 +79,56 @@ def shingles_of(text: bytes) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, node, trees, shingles) per document; the last two only where a task meets a node first."""
+    """(doc, node, n, trees, shingles) per document; the last two only where a task meets a node first.
+
+    A node is a 64-bit hash of its shingle set, n the set's size.
+    """
 
     def run(part, texts):
-        out = {"_key": part.column(0).to_pylist(), "node": [], "trees": [], "shingles": []}
+        out = {"_key": part.column(0).to_pylist(), "node": [], "n": [], "trees": [], "shingles": []}
         seen = set()
         for t in texts:
             s = shingles_of(t)
-            node = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+            node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None
             new = node is not None and node not in seen
             seen.add(node)
             out["node"].append(node)
+            out["n"].append(len(s))
             out["trees"].append(signature(s).tolist() if new else None)
             out["shingles"].append(s.tobytes() if new else None)
         yield out
 
     return map_texts(docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("text")), run,
-                     "_key bigint, node binary, trees array<bigint>, shingles binary", ["_key"])
+                     "_key bigint, node bigint, n bigint, trees array<bigint>, shingles binary", ["_key"])
 
 
 def candidate_edges(nodes: DataFrame, depth: int) -> DataFrame:
-    """(a, b) for nodes that share a prefix of `depth` values in some tree: each row with the first of its trie node."""
-    rows = nodes.where("trees IS NOT NULL").select("node", F.posexplode("trees").alias("tree", "sig"))
-    prefix = F.shiftright("sig", 8 * (DEPTH - depth))
-    # Trie nodes with one document are most of all; they are ruled out by an aggregate that combines before the shuffle.
-    first = rows.groupBy("tree", prefix.alias("prefix")).agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    return rows.withColumn("prefix", prefix).join(first.drop("z"), ["tree", "prefix"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """(a, b) for nodes that share a prefix of `depth` values in some tree: each row with the first of its trie node.
+
+    Rows stream past in the order of the tries, so the memory is that of one batch, however many share a prefix.
+    """
+    cut_off = 8 * (DEPTH - depth)
+    rows = nodes.where("trees IS NOT NULL").select("node", F.posexplode("trees").alias("tree", "sig")).select(
+        F.col("tree").cast("tinyint").alias("tree"), "sig", "node")
+    rows = rows.repartition("tree", F.shiftright("sig", cut_off)).sortWithinPartitions("tree", "sig")
+
+    def run(batches):
+        last, first = None, 0
+        for batch in batches:
+            tree, sig, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if not len(node):
+                continue
+            sig = sig >> cut_off
+            new = np.ones(len(node), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (tree[1:] != tree[:-1])
+            new[0] = (tree[0], sig[0]) != last
+            at = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
+            a = np.where(at < 0, first, node[at])
+            last, first = (tree[-1], sig[-1]), a[-1]
+            ok = a != node
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(node[ok])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _linked(sets: list[np.ndarray], threshold: tuple[int, int], split: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +174,7 @@ def _linked(sets: list[np.ndarray], threshold: tuple[int, int], split: int | Non
     return i[ok], j[ok]
 
 
-def _verify(names: list[bytes], sets: list[np.ndarray], weight: np.ndarray, half: list[int], pair: tuple[int, int], threshold) -> dict:
+def _verify(names: list[int], sets: list[np.ndarray], weight: np.ndarray, half: list[int], pair: tuple[int, int], threshold) -> dict:
     split = None
     if pair[0] != pair[1]:
         order = sorted(range(len(names)), key=lambda k: half[k])
@@ -169,15 +195,19 @@ def _verify(names: list[bytes], sets: list[np.ndarray], weight: np.ndarray, half
     return {"node": [names[k] for k in at], "n_links": links[at].astype(np.int64), "root": [names[k] for k in root[at]]}
 
 
+def blocks_of(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, label, blocks, half, n_copies): how many blocks a candidate group is cut into, and each node's block."""
+    rows = groups.join(sizes.select("node", "n", "n_copies"), "node")
+    extent = rows.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.join(extent.select("label", blocks.alias("blocks")), "label")
+    return rows.select("node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("half"), "n_copies")
+
+
 def verified(nodes: DataFrame, groups: DataFrame, sizes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(node, n_links, root): links found in each block, weighted by copies, and a spanning set of them."""
-    sets = nodes.where("shingles IS NOT NULL").select("node", "shingles")
-    rows = sets.join(groups, "node").join(sizes.select("node", "n_copies"), "node")
-    extent = rows.select("node", "label", F.length("shingles").alias("bytes")).dropDuplicates(["node"]).groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("bytes") / (8 * BLOCK_SHINGLES)))
-    rows = rows.join(extent.select("label", blocks.cast("int").alias("blocks")), "label")
-    rows = rows.withColumn("half", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = bounded_broadcast(cut(blocks_of(groups, sizes)), BROADCAST_ROWS)
+    rows = nodes.where("shingles IS NOT NULL").select("node", "shingles").join(blocks, "node")
     # Every pair of blocks of a group is one unit of work.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "half").alias("x"), F.greatest(k, "half").alias("y")))
     rows = rows.withColumn("pair", F.explode(pairs)).select("label", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "node", "half", "n_copies", "shingles")
@@ -213,12 +243,12 @@ def verified(nodes: DataFrame, groups: DataFrame, sizes: DataFrame, threshold: t
                 found[k].extend(v)
         yield _batch(found)
 
-    return rows.mapInArrow(run, "node binary, n_links bigint, root binary")
+    return rows.mapInArrow(run, "node bigint, n_links bigint, root bigint")
 
 
 def _batch(found: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(found["node"], pa.binary()), pa.array(found["n_links"], pa.int64()), pa.array(found["root"], pa.binary())],
+        [pa.array(found["node"], pa.int64()), pa.array(found["n_links"], pa.int64()), pa.array(found["root"], pa.int64())],
         names=["node", "n_links", "root"])
 
 
@@ -230,9 +260,9 @@ def ngram_join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, recall:
     threshold, copies included.
     """
     nodes = cut(nodes_of(docs, key, text))
-    sizes = cut(nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("_key").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")))
+    sizes = cut(nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("_key").alias("copy_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_copies")))
     depth = prefix_depth(threshold[0] / threshold[1], recall=recall)
-    groups = components(candidate_edges(nodes, depth))
+    groups = components(cut(candidate_edges(nodes, depth).distinct()))
     links = cut(verified(nodes, groups, sizes, threshold))
     classes = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     per_node = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
