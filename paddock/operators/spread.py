@@ -2,18 +2,18 @@
 
 A window or an exact percentile over a group runs in one task, so it is only planned that way
 after a check that every group is small (one aggregate over the key columns). If some group
-holds more than its fair share, the hot groups are cut into value ranges: prefix sums, row
+has more than `paddock.hotRows` rows, the table is range-partitioned by group and order: prefix sums, row
 positions, ranks and quantiles work inside a range and add the totals of the earlier ranges.
-Both ways are exact.
+Both ways are exact, and order nulls first and NaN last. Null keys are a group like any other.
 """
 
-from bisect import bisect_right
+from functools import reduce
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, hot_rows, n_ranges
+from ..session import cut, hot_rows
 
 RNG = "_rng"
 UNBOUNDED = Window.unboundedPreceding
@@ -27,17 +27,21 @@ def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
 
 
 def size_limit(df: DataFrame, keys: list[str], sizes: tuple[int, int] | None = None) -> int | None:
-    """Rows a group may have in one sorted task, or None if no group exceeds it.
-
-    With keys the limit is at least the fair share, so that few groups can be above it.
-    """
-    biggest, total = sizes or group_sizes(df, keys)
+    """Rows a group may have in one sorted task, or None if no group exceeds it."""
+    biggest, _ = sizes or group_sizes(df, keys)
     limit = hot_rows(df.sparkSession)
-    if keys:
-        limit = max(limit, ceil(total / n_ranges(df.sparkSession)))
     return limit if biggest > limit else None
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join in which null keys match null keys; each key appears once."""
+    if not keys:
+        raise ValueError("no keys to join on")
+    r = right.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_j_{k}"]) for k in keys])
+    return left.join(r, same, how).drop(*[f"_j_{k}" for k in keys])
+
+
 def search(col: str, edges: list, strict: bool = False) -> Column:
     """How many of the sorted edges are <= the value (< the value when `strict`)."""
     below = (lambda v: F.col(col) <= v) if strict else (lambda v: F.col(col) < v)
@@ -58,52 +62,22 @@ def search(col: str, edges: list, strict: bool = False) -> Column:
     return coarse * F.lit(step) + F.greatest(upto(F.get(chunks, coarse)), F.lit(0))
 
 
-def _edges(part: DataFrame, col: str, n: int) -> list:
-    """About n-1 cut points, repeated where one value fills several ranges."""
-    if dict(part.dtypes)[col] == "string":
-        sample = part.select(col).where(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(20 * n)
-        values = sorted(row[0] for row in sample.collect())
-        return values[20::20]
-    probs = [i / n for i in range(1, n)]
-    read = part.agg(F.percentile_approx(col, probs, max(10000, 20 * n))).first()
-    return list(read[0] or [])
-
-
 def spread(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
-    """Add `_rng`: 0 for groups up to `limit` rows, increasing along `order` for larger ones.
+    """`df` with `_rng`, increasing along `order` in every group, about `limit` rows in each range or fewer.
 
-    A group above the fair share is rare: there are at most total/limit of them, so their
-    broadcast list is bounded, and so are the edges the driver reads. A value so frequent that it
-    fills whole ranges is cut further by `order[1]`, so no range is much above the fair share.
+    The ranges follow the rows, whatever the number of groups, of shuffle partitions or of equal values: `order` ends in a
+    tie-break, so a frequent value is cut as well. The result is written, because ranges come from a sample and two
+    evaluations would differ. `df` is read twice, for the sample and for the rows.
     """
-    n = n_ranges(df.sparkSession)
-    if keys:
-        hot = df.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
-        hot = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-        part = df.join(hot, keys, "left_semi")
-    else:
-        part = df
-    first = _edges(part, order[0], n)
-    edges = sorted(set(first))
-    x = F.col(order[0])
-    # an edge value gets its own (even) half-range, so cutting it by order[1] keeps the order
-    at = search(order[0], edges)
-    code = 2 * at + F.when(x.isin(edges), 0).otherwise(1)
-    if len(order) > 1:
-        frequent = sorted({v for v in edges if bisect_right(first, v) - first.index(v) > 1})
-        sub = search(order[1], sorted(set(_edges(part, order[1], n))))
-        code = code * F.lit(n) + F.when(x.isin(frequent), sub).otherwise(0)
-    code = (code + 1).cast("long")
-    if not keys:
-        return df.withColumn(RNG, code)
-    out = df.join(hot, keys, "left")
-    return out.withColumn(RNG, F.when(F.col("_hot"), code).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    n = max(2, ceil(df.count() / limit))
+    ranged = df.repartitionByRange(n, *keys, *order)
+    return cut(ranged.withColumn(RNG, F.spark_partition_id().cast("long")))
 
 
 def offsets(s: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Totals of the earlier ranges, one row per (hot group, range)."""
+    """Totals of the earlier ranges, one row per (group, range)."""
     w = Window.partitionBy(*keys).orderBy(RNG).rowsBetween(UNBOUNDED, -1)
-    t = s.where(F.col(RNG) > 0).groupBy(*keys, RNG).agg(*[e.alias(c) for c, e in sums.items()])
+    t = s.groupBy(*keys, RNG).agg(*[e.alias(c) for c, e in sums.items()])
     return t.select(*keys, RNG, *[F.sum(c).over(w).alias(f"_off_{c}") for c in sums])
 
 
@@ -120,13 +94,13 @@ def prefix_sums(t: DataFrame, keys: list[str], order: str, cols: list[str], limi
     w = Window.partitionBy(*keys, RNG).orderBy(order).rowsBetween(UNBOUNDED, -1)
     off = offsets(s, keys, {c: F.sum(c) for c in cols})
     out = s.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(w), zero) for c in cols})
-    out = out.join(off, [*keys, RNG], "left")
+    out = join_on(out, off, [*keys, RNG])
     out = out.withColumns({f"{c}_below": F.col(f"{c}_below") + F.coalesce(f"_off_{c}", zero) for c in cols})
     return out.drop(RNG, *[f"_off_{c}" for c in cols])
 
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], out: str, reread: bool = False) -> DataFrame:
-    """Exact 1-based row number in the group; `order` must be unique in it and not null.
+    """Exact 1-based row number in the group; `order` must be unique in it. Nulls come first.
 
     Set `reread` if df is a table or a projection of one: a hot group then makes it be read again
     rather than written first.
@@ -137,14 +111,13 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], out: str, re
         return df.withColumn(out, F.row_number().over(w).cast("long"))
     s = spread(df if reread else cut(df), keys, order, limit)
     w = Window.partitionBy(*keys, RNG).orderBy(*order)
-    d = s.withColumn(out, F.row_number().over(w)).join(
-        offsets(s, keys, {"n": F.count("*")}), [*keys, RNG], "left")
+    d = join_on(s.withColumn(out, F.row_number().over(w)), offsets(s, keys, {"n": F.count("*")}), [*keys, RNG])
     return d.withColumn(out, F.col(out).cast("long") + F.coalesce("_off_n", F.lit(0))).drop(RNG, "_off_n")
 
 
 def with_group_size(t: DataFrame, keys: list[str], n: str, out: str) -> DataFrame:
     size = t.groupBy(*keys).agg(F.sum(n).alias(out))
-    return t.join(size, keys) if keys else t.withColumn(out, size.scalar())
+    return join_on(t, size, keys) if keys else t.withColumn(out, size.scalar())
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, limit: int | None = None) -> DataFrame:
@@ -180,7 +153,7 @@ def with_avg_rank(df: DataFrame, keys: list[str], columns: dict[str, str], scale
         else:
             ranks = value_ranks(df, keys, value, limit)
             rank = _scaled(F.col("avg_rank"), F.col("n_group"), scale)
-            df = df.join(ranks.select(*keys, value, rank.alias(out)), [*keys, value], "left")
+            df = join_on(df, ranks.select(*keys, value, rank.alias(out)), [*keys, value])
     return df
 
 

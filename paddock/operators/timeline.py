@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import block_rows, cut
+from .spread import join_on
 
 BLK = "_blk"
 
@@ -63,7 +64,7 @@ def running(
         *[aggs[fn](f"_t_{c}").over(before).alias(f"_c_{c}") for c, (fn, _) in features.items()],
     ).where(F.col("_earlier") > 0).drop("_earlier")
     d = d.withColumns({c: aggs[fn](e).over(w) for c, (fn, e) in features.items()})
-    d = d.join(carry, [*keys, BLK], "left")
+    d = join_on(d, carry, [*keys, BLK])
     for c, (fn, _) in features.items():
         here, there = F.col(c), F.col(f"_c_{c}")
         if fn == "sum":

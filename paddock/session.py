@@ -11,7 +11,7 @@ _own_dir: dict[str, str] = {}
 
 
 def hot_rows(spark: SparkSession) -> int:
-    """Groups with more rows than this (and than a fair share) are split into ranges."""
+    """Groups with more rows than this are split into ranges of about as many rows."""
     return int(spark.conf.get("paddock.hotRows", "1000000"))
 
 
@@ -20,11 +20,6 @@ def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("paddock.blockRows", "1000000"))
 
 
-def n_ranges(spark: SparkSession) -> int:
-    """Number of ranges a hot group is cut into; follows the cluster's shuffle width."""
-    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: `spark.checkpoint.dir`, else (local runs only) our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

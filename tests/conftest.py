@@ -31,10 +31,10 @@ def con():
 
 @pytest.fixture
 def tight(spark):
-    """Split every group and timeline that has more than a few rows."""
-    spark.conf.set("paddock.hotRows", "40")
+    """Split every group and timeline that has more than some rows."""
+    spark.conf.set("paddock.hotRows", "2500")
     spark.conf.set("paddock.blockRows", "7")
-    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     yield spark
     spark.conf.unset("paddock.hotRows")
     spark.conf.unset("paddock.blockRows")
