@@ -63,14 +63,13 @@ def test_lm_probabilities_add_up():
     for s in range(257):
         share += 0.5 ** code.length[s]
     assert share == pytest.approx(1)
-    store = [rng.integers(0, 9, (1 << b, 2)).astype(np.uint16) for b in lm_mixing.SLOT_BITS]
-    odds, met = lm_mixing.finished(store)
+    store = [lm_mixing.coded(rng.integers(0, 9, (1 << b, 2)).astype(float)) for b in lm_mixing.SLOT_BITS]
     weights = rng.random((lm_mixing.GATES, len(lm_mixing.PREDICTORS))).astype(np.float32) * 0.3
     total = 0.0
     first = [bytes([s]) for s in range(256)] + [b""]
     for owner, node, bit, slots in lm_mixing.decisions(first, np.zeros(257, np.int8), code):
-        w = weights[lm_mixing._gate(*(met[k][slots[k]] for k in lm_mixing._GATED))]
-        z = sum(odds[k][s] * w[:, k] for k, s in enumerate(slots))
+        x, gate = lm_mixing._inputs(slots, store)
+        z = (x * weights[gate].T).sum(axis=0)
         p = 1 / (1 + np.exp(-z))
         logs = np.log(np.where(bit == 1, p, 1 - p))
         # Only the first symbol of each word: its path is the first `length` decisions of that word.
@@ -80,6 +79,17 @@ def test_lm_probabilities_add_up():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_counts_in_a_byte_are_exact_up_to_a_limit():
+    n = np.array([[0, 1], [199, 200], [5000, 3_000_000_000]], float)
+    c = lm_mixing.coded(n)
+    odds = lm_mixing._ODDS[c]
+    assert odds[:2] == pytest.approx(np.log((n[:2, 1] + lm_mixing.PRIOR) / (n[:2, 0] + lm_mixing.PRIOR)), abs=1e-5)
+    assert odds[2] == pytest.approx(np.log(n[2, 1] / n[2, 0]), abs=0.6)
+    assert lm_mixing._ODDS[int(c[0]) + (2 << 16)] == pytest.approx(0)  # its only occurrence left out
+    x = np.random.default_rng(0).integers(0, 10**6, 1000)
+    assert (lm_mixing.unpacked(lm_mixing.packed(x)) == x).all()
+
+
 def test_lm_classes_follow_the_words_before():
     votes = np.array([[1.0, -1.0], [-2.0, 2.0], [0.0, 0.1]])
     a = np.array([-1, 0, -1, 1, -1, 1, 0])
@@ -322,3 +332,10 @@ def test_components(spark):
         real = {x for a, b in edges if a != b for x in (a, b)}
         got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {x: root(x) for x in real}
+
+
+def test_license_gates_cover_every_key_phrase():
+    for phrase in [p for p, _ in licenses.PHRASES] + [p for _, _, p in licenses.TEMPLATES]:
+        assert any(g in phrase for g in licenses.GATES)
+    for _, words, phrase in licenses.TEMPLATES:
+        assert f" {phrase} " in f" {words} "
