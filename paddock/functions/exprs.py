@@ -160,6 +160,7 @@ def number_categories(config=NUMBER_CATS) -> dict[str, Column]:
     return out
 
 
+#: Fixed values.
 BIGRAM_BASE = [
     "Driver", "Compound", "Race", "Year", "PitStop", "LapNumber", "Stint", "TyreLife", "Position",
     "RaceProgress", "Position_Change",
@@ -177,6 +178,7 @@ def bigrams(dtypes: dict[str, str], columns=BIGRAM_BASE) -> dict[str, Column]:
     return {f"{a}__{b}": pair(a, b) for a, b in combinations(columns, 2)}
 
 
+#: Fixed values.
 CROSSES = {
     "Race_Year": ["Race", "Year"],
     "Compound_Stint": ["Compound", "Stint"],
@@ -191,19 +193,15 @@ CROSSES = {
 
 
 def crosses(config=CROSSES) -> dict[str, Column]:
-    """Joined category keys; bin columns must exist."""
-    return {name: F.concat_ws("_", *[c(x).cast("string") for x in cols]) for name, cols in config.items()}
+    """Joined category keys; bin columns must exist. A null part has a text of its own, so no two keys run together."""
+    part = lambda x: F.coalesce(c(x).cast("string"), F.lit("__MISSING__"))
+    return {name: F.concat_ws("_", *[part(x) for x in cols]) for name, cols in config.items()}
 
 
 def no_nulls(columns, sentinel="__NA__") -> dict[str, Column]:
     return {x: F.coalesce(c(x), F.lit(sentinel)) for x in columns}
 
 
-def shared_columns(*frames, drop=("id", "PitNextLap", "split")) -> list[str]:
-    """Columns of the first frame that every frame has."""
-    return [x for x in frames[0].columns if x not in drop and all(x in f.columns for f in frames[1:])]
-
-
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
@@ -212,10 +210,6 @@ def logit(p: Column) -> Column:
     return F.log(p / (1.0 - p))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-x))
-
-
 def log_loss_row(y: Column, p: Column, eps=1e-7) -> Column:
     q = clip(p, eps, 1 - eps)
     return -(y * F.log(q) + (1.0 - y) * F.log(1.0 - q))

@@ -23,11 +23,12 @@ def weighted(columns: dict[str, float], transform=lambda c: c) -> Column:
 
 def geometric(columns: dict[str, float]) -> Column:
     """Weighted mean of clipped logs."""
-    return weighted(columns, lambda c: F.log(clip(c, 1e-7, 1 - 1e-7)))
+    return weighted(columns, lambda c: F.log(clip(c, 1e-6, 1 - 1e-6)))
 
 
-def rank_percentile(df: DataFrame, columns: dict[str, float], out: str) -> DataFrame:
-    d = with_avg_rank(df, [], {c: f"_r_{c}" for c in columns})
+def rank_percentile(df: DataFrame, columns: dict[str, float], out: str, keys: list[str] = ()) -> DataFrame:
+    """Weighted mean of rank percentiles, ranked within `keys`."""
+    d = with_avg_rank(df, list(keys), {c: f"_r_{c}" for c in columns})
     d = d.withColumn(out, weighted({f"_r_{c}": w for c, w in columns.items()}))
     return d.drop(*[f"_r_{c}" for c in columns])
 

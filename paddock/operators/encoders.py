@@ -7,14 +7,18 @@ edges, a list whose length is a parameter.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import search, quantiles, with_avg_rank, with_position
+from .spread import join_on, search, quantiles, with_avg_rank, with_position
 
 
-def frequency(df: DataFrame, fit: DataFrame, columns: list[str], total: bool = True) -> DataFrame:
-    """Add <col>_count, and <col>_freq when `total`, counted on `fit`; unseen values count 0."""
+def frequency(df: DataFrame, fit: DataFrame, columns: list[str], total: bool = True, count_null: bool = True) -> DataFrame:
+    """Add <col>_count, and <col>_freq when `total`, counted on `fit`; unseen values count 0.
+
+    Null is a category of its own, or counts 0 without `count_null`.
+    """
     for x in columns:
         counts = fit.groupBy(x).agg(F.count("*").alias(f"{x}_count"))
-        df = df.join(counts, x, "left").withColumn(f"{x}_count", F.coalesce(f"{x}_count", F.lit(0).cast("long")))
+        df = join_on(df, counts, [x]) if count_null else df.join(counts, x, "left")
+        df = df.withColumn(f"{x}_count", F.coalesce(f"{x}_count", F.lit(0).cast("long")))
     if not total:
         return df
     n = fit.agg(F.count("*")).scalar()

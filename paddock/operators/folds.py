@@ -1,9 +1,11 @@
 """Deterministic folds, samples and weights, all derived from a seeded hash of the row key."""
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import with_position
+from .spread import join_on, with_position
 
 
 def hash_key(seed, key="id") -> Column:
@@ -29,7 +31,7 @@ def group_folds(df: DataFrame, group: str, k=5, out="fold") -> DataFrame:
     ranked = with_position(sizes, [], ["_neg", group], "_p")
     turn = (F.col("_p") - 1) % (2 * k)
     fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
-    return df.join(ranked.select(group, fold.alias(out)), group)
+    return join_on(df, ranked.select(group, fold.alias(out)), [group])
 
 
 def group_stratified_folds(df: DataFrame, groups: list[str], year: str, target: str, k=5, seed=42) -> DataFrame:
@@ -37,7 +39,7 @@ def group_stratified_folds(df: DataFrame, groups: list[str], year: str, target:
     g = df.groupBy(*groups).agg(
         F.min("id").alias("_gid"), F.max(year).alias("_gy"), F.max((F.col(target) > 0).cast("int")).alias("_any"))
     g = stratified_folds(g, ["_gy", "_any"], k, seed, "_gid")
-    return df.join(g.select(*groups, "fold"), groups)
+    return join_on(df, g.select(*groups, "fold"), groups)
 
 
 def is_holdout(rate=0.2, seed=7) -> Column:
@@ -59,12 +61,17 @@ def subsample_flagged(df: DataFrame, fold: str, flag: str, rate: float, seed=42)
     return df.where(F.col(flag) == 0).unionByName(kept.select(*df.columns))
 
 
-def poisson_weight(seed) -> Column:
-    """Bootstrap multiplicity: inverse Poisson(1) CDF of the row's hash, up to 6 copies."""
+def poisson_weight(seed, rate: float = 1.0) -> Column:
+    """Bootstrap multiplicity: inverse Poisson(rate) CDF of the row's hash, as far as its 52 bits tell values apart."""
     u = unit_hash(seed)
-    # cumulative Poisson(1) probabilities, fixed values
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-           0.9963401531726563, 0.9994058151824183]
+    term = total = exp(-rate)
+    cdf = []
+    while total < 1 - 2**-52:
+        cdf.append(total)
+        term *= rate / len(cdf)
+        if total + term == total:
+            break
+        total += term
     w = F.lit(len(cdf))
     for i in reversed(range(len(cdf))):
         w = F.when(u < cdf[i], i).otherwise(w)

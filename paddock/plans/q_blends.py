@@ -12,9 +12,11 @@ from ..operators import folds as fo
 from ..operators import search as se
 from ..operators.auc import auc, batched_auc, blend_expr, with_candidates
 from ..operators.spread import with_avg_rank, with_position
-from ..sources.laps import oof, split_of
+from ..sources import scans as sc
+from ..sources.laps import oof, split_of, with_test
 from .q_folds import OOF_FOLDED, oof_folded
-from .q_metrics import BASES, LONG, auc_sql, efbin_sql, long_sql, rank_sql
+from .q_metrics import BASES, auc_sql, efbin_sql, long_sql, rank_sql
+from .q_sources import folder
 from .registry import on_laps, query, r, r_all, rounded
 
 ADC = {"oof_d": 0.6, "oof_a": 0.3, "oof_c": 0.1}
@@ -29,35 +31,46 @@ def clip_sql(x: str, lo="0.000001", hi="0.999999") -> str:
     return f"least(greatest({x}, {D(lo)}), {D(hi)})"
 
 
-@query("B1_weighted_linear", on_laps(f"SELECT id, target, {r(wsum(ADC), 'score')} FROM oof"))
+def submitted(spark, sf, d, name):
+    """A blend of both parts: the out-of-fold rows, and the test rows as the submission file holds them."""
+    path = folder(spark, sf, f"submission_{name}.csv")
+    test = d.where("part = 'test'").select("id", F.col("score").alias("PitNextLap"))
+    sc.write_submission(test, path)
+    back = spark.read.schema("id long, PitNextLap double").csv(path, header=True)
+    return rounded(d.where("part = 'oof'").select("part", "id", "score").unionByName(back.select(F.lit("test").alias("part"), "id", F.col("PitNextLap").alias("score"))))
+
+
+@query("B1_weighted_linear", on_laps(f"SELECT part, id, {r(wsum(ADC), 'score')} FROM both_parts"))
 def b1(spark, sf):
     # aligned by key, one table per base, never by row position
-    d = oof(spark, sf)
-    wide = d.select("id", "target", "oof_d")
+    d = with_test(spark, sf)
+    wide = d.select("part", "id", "oof_d")
     for b in ("oof_a", "oof_c"):
-        wide = wide.join(d.select("id", b), "id")
-    return rounded(wide.select("id", "target", bl.weighted(ADC).alias("score")))
+        wide = wide.join(d.select("part", "id", b), ["part", "id"])
+    return submitted(spark, sf, wide.withColumn("score", bl.weighted(ADC)), "linear")
 
 
 @query("B2_weighted_geometric", on_laps(
-    f"SELECT id, {r(wsum(ADC, lambda c: f'ln({clip_sql(c, 1e-7, 1 - 1e-7)})'), 'score')} FROM oof"))
+    f"SELECT part, id, {r(wsum(ADC, lambda c: f'ln({clip_sql(c, 1e-6, 1 - 1e-6)})'), 'score')} FROM both_parts"))
 def b2(spark, sf):
-    return rounded(oof(spark, sf).select("id", bl.geometric(ADC).alias("score")))
+    return submitted(spark, sf, with_test(spark, sf).withColumn("score", bl.geometric(ADC)), "geometric")
 
 
 RANKED = ("ranked", "SELECT *, " + ", ".join(f"{rank_sql(b)} AS r_{b}" for b in BASES) + ", count(*) OVER () AS nn FROM oof")
+RANKED_PARTS = ("ranked_parts", "SELECT *, " + ", ".join(f"{rank_sql(b, 'part')} AS r_{b}" for b in BASES)
+                + ", count(*) OVER (PARTITION BY part) AS nn FROM both_parts")
 
 
-@query("B3_rank_percentile", on_laps(f"SELECT id, {r(wsum(ADC, lambda c: f'(r_{c} / nn)'), 'score')} FROM ranked", RANKED))
+@query("B3_rank_percentile", on_laps(f"SELECT part, id, {r(wsum(ADC, lambda c: f'(r_{c} / nn)'), 'score')} FROM ranked_parts", RANKED_PARTS))
 def b3(spark, sf):
-    return rounded(bl.rank_percentile(oof(spark, sf), ADC, "score").select("id", "score"))
+    return submitted(spark, sf, bl.rank_percentile(with_test(spark, sf), ADC, "score", ["part"]), "rank")
 
 
 @query("B4_multi_seed_mean", on_laps(
-    f"SELECT id, {r('avg(score)', 'score')}, count(*) AS members FROM longp GROUP BY id HAVING count(*) >= 2", OOF_FOLDED, LONG))
+    f"SELECT part, id, {r('avg(score)', 'score')}, count(*) AS members FROM ({long_sql('both_parts', 'part, id')}) GROUP BY part, id HAVING count(*) >= 2"))
 def b4(spark, sf):
-    d = dg.long_scores(oof(spark, sf), BASES, ["id"])
-    g = d.groupBy("id").agg(F.avg("score").alias("score"), F.count("*").alias("members"))
+    d = dg.long_scores(with_test(spark, sf), BASES, ["part", "id"])
+    g = d.groupBy("part", "id").agg(F.avg("score").alias("score"), F.count("*").alias("members"))
     return rounded(g.where(F.col("members") >= 2))
 
 
@@ -191,6 +204,7 @@ def cands_sql(bases, cands) -> str:
 
 LINE = [{"id": f"{i * 0.05:.2f}", "w": [round(1 - i * 0.05, 2), round(i * 0.05, 2)]} for i in range(21)]
 DAC = ["oof_d", "oof_a", "oof_c"]
+DAC3 = ["oof_d", "oof_c", "oof_a"]
 SIMPLEX = [{"id": f"{i}|{j}|{10 - i - j}", "w": [i / 10, j / 10, (10 - i - j) / 10]}
            for i in range(11) for j in range(11 - i)]
 
@@ -212,17 +226,34 @@ query("B15_weight_line", sweep_sql(["oof_d", "oof_a"], LINE))(sweep_query(["oof_
 query("B15_weight_simplex", sweep_sql(DAC, SIMPLEX))(sweep_query(DAC, SIMPLEX))
 
 
-@query("B15_coarse_to_fine")
+COARSE = [(c, l) for c in (0.1, 0.15, 0.2) for l in (0.0, 0.025, 0.05, 0.075, 0.1)]
+OFFSETS = (-0.025, -0.0125, 0.0, 0.0125, 0.025)
+THREE = "(1 - w_c - w_a) * oof_d + w_c * oof_c + w_a * oof_a"
+
+
+def stage_auc_sql(points: str) -> str:
+    return auc_sql(f"(SELECT w_c, w_a, target, {THREE} AS s FROM oof CROSS JOIN {points})", "w_c, w_a", "s", "target")
+
+
+@query("B15_coarse_to_fine", on_laps(
+    " UNION ALL ".join(f"SELECT '{n}' AS stage, {r_all('w_c', 'w_a', 'auc')} FROM {n}" for n in ("coarse", "fine")),
+    ("coarse", stage_auc_sql("(VALUES " + ", ".join(f"({D(c)}, {D(l)})" for c, l in COARSE) + ") g(w_c, w_a)")),
+    ("top", "SELECT w_c AS c0, w_a AS a0 FROM coarse ORDER BY auc DESC, w_c, w_a LIMIT 1"),
+    ("points", f"""SELECT DISTINCT round(greatest(c0 + x.o, 0), 6) AS w_c, round(greatest(a0 + y.o, 0), 6) AS w_a
+      FROM top CROSS JOIN (SELECT unnest([{', '.join(D(o) for o in OFFSETS)}]) AS o) x
+      CROSS JOIN (SELECT unnest([{', '.join(D(o) for o in OFFSETS)}]) AS o) y"""),
+    ("fine", stage_auc_sql("points"))))
 def b15_fine(spark, sf):
-    """A coarse line of weights, then a fine one around its best point; both stages reported."""
+    """A coarse grid of two support weights beside the anchor's, then a finer grid around its best point."""
     d = oof(spark, sf)
-    coarse = [{"id": f"{i / 10:.3f}", "w": [1 - i / 10, i / 10]} for i in range(11)]
-    first = batched_auc(d, ["oof_d", "oof_a"], coarse)
-    top = float(first.orderBy(F.desc("auc"), "cand").first()["cand"])
-    ws = sorted({round(min(1, max(0, top + k / 100)), 3) for k in range(-9, 10)})
-    fine = batched_auc(d, ["oof_d", "oof_a"], [{"id": f"{w:.3f}", "w": [1 - w, w]} for w in ws])
-    stage = lambda t, name: t.select(F.lit(name).alias("stage"), F.col("cand").cast("double").alias("w_support"), "auc")
-    return rounded(stage(first, "coarse").unionByName(stage(fine, "fine")))
+    stage = lambda points: batched_auc(d, DAC3, [{"id": f"{c:.6f}|{a:.6f}", "w": [1 - c - a, c, a]} for c, a in points])
+    coarse = stage(COARSE)
+    rows = sorted((-x["auc"], *map(float, x["cand"].split("|"))) for x in coarse.collect())  # one row per grid point
+    _, c0, a0 = rows[0]
+    fine = stage(sorted({(round(max(c0 + x, 0), 6), round(max(a0 + y, 0), 6)) for x in OFFSETS for y in OFFSETS}))
+    at = lambda i: F.split("cand", r"\|")[i].cast("double")
+    name = lambda t, n: t.select(F.lit(n).alias("stage"), at(0).alias("w_c"), at(1).alias("w_a"), "auc")
+    return rounded(name(coarse, "coarse").unionByName(name(fine, "fine")))
 
 
 OP_W = [0.1, 0.2, 0.3]
@@ -262,41 +293,43 @@ def weights_frame(spark, rows):
     return spark.createDataFrame(rows, "search string, base string, weight double, auc double")
 
 
-def exact(table, bases, found):
-    """Confirm the winners' AUC without binning the scores."""
-    return se.score_moves(table, bases, "target", [(i, w.tolist()) for i, (w, _) in enumerate(found)], bins=None)
+def rows_of(found, bases, names):
+    return [(n, b, round(float(x), 6), round(f.auc, 6)) for n, f in zip(names, found) for b, x in zip(bases, f.weights)]
+
 
+def with_mean(spark, sf, bases, found, names):
+    """The weights of every bag, and their mean with its AUC on all rows."""
+    mean = sum(f.weights for f in found)
+    mean = mean / mean.sum()
+    top = se.score_moves(se.prepare(oof(spark, sf), bases, "target"), bases, "target", [(0, mean.tolist())])
+    return weights_frame(spark, rows_of([*found, se.Found(mean, top[0], True)], bases, [*names, "mean"]))
 
-def rows_of(found, aucs, bases, names):
-    return [(n, b, round(float(x), 6), round(float(a), 6)) for n, (w, _), a in zip(names, found, aucs) for b, x in zip(bases, w)]
+
+EQUAL = [1, 1, 1]
+BAGS = 20
 
 
 @query("B17_coordinate_descent")
 def b17(spark, sf):
     t = se.prepare(oof(spark, sf), DAC, "target")
-    found = se.coordinate_descent(t, DAC, "target", [[1, 1, 1]], passes=20)
-    return weights_frame(spark, rows_of(found, exact(t, DAC, found), DAC, ["all"]))
+    return weights_frame(spark, rows_of(se.coordinate_descent(t, DAC, "target", [EQUAL]), DAC, ["all"]))
 
 
 @query("B18_nested_blend")
 def b18(spark, sf):
     d = oof_folded(spark, sf)
     t = se.prepare(d, DAC, "target", [F.col("fold") != k for k in range(5)])
-    found = se.coordinate_descent(t, DAC, "target", [[1, 1, 1]] * 5, passes=8)
-    return rounded(se.apply_fold_weights(d, DAC, "fold", {k: w for k, (w, _) in enumerate(found)}, "score").select(
+    found = se.coordinate_descent(t, DAC, "target", [EQUAL] * 5)
+    return rounded(se.apply_fold_weights(d, DAC, "fold", {k: f.weights for k, f in enumerate(found)}, "score").select(
         "id", "fold", "target", "score"))
 
 
 @query("B19_bagged_weights")
 def b19(spark, sf):
-    t = se.prepare(oof(spark, sf), DAC, "target", [fo.poisson_weight(100 + b) for b in range(5)])
-    found = se.coordinate_descent(t, DAC, "target", [[1, 1, 1]] * 5, passes=6)
-    mean = sum(w for w, _ in found)
-    mean = mean / mean.sum()
-    rows = rows_of(found, [a for _, a in found], DAC, [f"bag{b}" for b in range(5)])
-    plain = se.prepare(oof(spark, sf), DAC, "target")
-    top = se.score_moves(plain, DAC, "target", [(0, mean.tolist())], bins=None)
-    return weights_frame(spark, rows + rows_of([(mean, 0)], top, DAC, ["mean"]))
+    """Bags of about half as many rows as there are, drawn with replacement."""
+    t = se.prepare(oof(spark, sf), DAC, "target", [fo.poisson_weight(100 + b, 0.5) for b in range(BAGS)])
+    found = se.coordinate_descent(t, DAC, "target", [EQUAL] * BAGS)
+    return with_mean(spark, sf, DAC, found, [f"bag{b}" for b in range(BAGS)])
 
 
 GREEDY_FIRST = [{"id": f"{b}", "w": [(int(i < 3) + int(i == j)) / 4 for i in range(4)]} for j, b in enumerate(BASES)]
@@ -306,30 +339,25 @@ query("B20_greedy_first_step", sweep_sql(BASES, GREEDY_FIRST))(sweep_query(BASES
 @query("B20_greedy_selection")
 def b20(spark, sf):
     t = se.prepare(oof(spark, sf), BASES, "target")
-    found = se.greedy(t, BASES, "target", [[0, 1, 2, 3]], init=2, rounds=20)
-    return weights_frame(spark, rows_of(found, exact(t, BASES, found), BASES, ["all"]))
+    return weights_frame(spark, rows_of(se.greedy(t, BASES, "target", [[0, 1, 2, 3]]), BASES, ["all"]))
 
 
 @query("B21_nested_greedy")
 def b21(spark, sf):
     d = oof_folded(spark, sf)
     t = se.prepare(d, BASES, "target", [F.col("fold") != k for k in range(5)])
-    found = se.greedy(t, BASES, "target", [[0, 1, 2, 3]] * 5, init=2, rounds=8)
-    return rounded(se.apply_fold_weights(d, BASES, "fold", {k: w for k, (w, _) in enumerate(found)}, "score").select(
+    found = se.greedy(t, BASES, "target", [[0, 1, 2, 3]] * 5)
+    return rounded(se.apply_fold_weights(d, BASES, "fold", {k: f.weights for k, f in enumerate(found)}, "score").select(
         "id", "fold", "target", "score"))
 
 
 @query("B21_bagged_greedy")
 def b21_bagged(spark, sf):
+    """Bags of 0.6 of the models, three at least."""
     rng = random.Random(0)
-    allowed = [sorted(rng.sample(range(4), 3)) for _ in range(4)]
-    t = se.prepare(oof(spark, sf), BASES, "target", [F.lit(1)] * 4)
-    found = se.greedy(t, BASES, "target", allowed, init=2, rounds=8)
-    mean = sum(w for w, _ in found)
-    found.append((mean / mean.sum(), 0.0))
-    plain = se.prepare(oof(spark, sf), BASES, "target")
-    aucs = se.score_moves(plain, BASES, "target", [(0, w.tolist()) for w, _ in found], bins=None)
-    return weights_frame(spark, rows_of(found, aucs, BASES, [*[f"bag{i}" for i in range(4)], "mean"]))
+    allowed = [sorted(rng.sample(range(4), max(3, int(0.6 * 4)))) for _ in range(BAGS)]
+    t = se.prepare(oof(spark, sf), BASES, "target", [F.lit(1)] * BAGS)
+    return with_mean(spark, sf, BASES, se.greedy(t, BASES, "target", allowed), [f"bag{i}" for i in range(BAGS)])
 
 
 @query("B22_gram_matrix", on_laps(" UNION ALL ".join(
@@ -385,12 +413,29 @@ def b23(spark, sf):
 
 
 NAMED = [
-    {"id": "all", "w": [0.2, 0.1, 0.2, 0.5]}, {"id": "drop_noise", "w": [0.2, 0.0, 0.2, 0.5]},
-    {"id": "drop_pace", "w": [0.2, 0.1, 0.0, 0.5]}, {"id": "swap_tyre_pace", "w": [0.0, 0.1, 0.4, 0.5]},
-    {"id": "strong_only", "w": [0.0, 0.0, 0.0, 1.0]}, {"id": "weak_only", "w": [0.4, 0.2, 0.4, 0.0]},
+    ("all", "lin", {"oof_a": 0.2, "oof_b": 0.1, "oof_c": 0.2, "oof_d": 0.5}), ("drop_noise", "lin", {"oof_a": 0.2, "oof_c": 0.2, "oof_d": 0.5}),
+    ("drop_pace", "lin", {"oof_a": 0.2, "oof_b": 0.1, "oof_d": 0.5}), ("strong_only", "lin", {"oof_d": 1.0}),
+    ("weak_only", "lin", {"oof_a": 0.4, "oof_b": 0.2, "oof_c": 0.4}), ("all_geo", "geo", {"oof_a": 0.2, "oof_b": 0.1, "oof_c": 0.2, "oof_d": 0.5}),
+    ("all_rank", "rank", {"oof_a": 0.2, "oof_b": 0.1, "oof_c": 0.2, "oof_d": 0.5}),
 ]
-NAMED = [{"id": c["id"], "w": [x / sum(c["w"]) for x in c["w"]]} for c in NAMED]
-query("B24_named_candidates", sweep_sql(BASES, NAMED))(sweep_query(BASES, NAMED))
+MODE_SQL = {"lin": lambda c: c, "geo": lambda c: f"ln({clip_sql(c, 1e-6, 1 - 1e-6)})", "rank": lambda c: f"(r_{c} / nn)"}
+
+
+@query("B24_named_candidates", on_laps(
+    f"""SELECT a.cand, {r('a.auc', 'auc')}, {r('t.score', 'test_mean')}, t.n AS n_test
+    FROM ({auc_sql("(SELECT * FROM named WHERE part = 'oof')", 'cand', 'score', 'target')}) a
+    JOIN (SELECT cand, avg(score) AS score, count(*) AS n FROM named WHERE part = 'test' GROUP BY cand) t ON t.cand = a.cand""",
+    RANKED_PARTS, ("named", " UNION ALL ".join(
+        f"SELECT '{n}' AS cand, part, target, {wsum(w, MODE_SQL[m])} AS score FROM ranked_parts" for n, m, w in NAMED))))
+def b24(spark, sf):
+    """Named candidates, each blended its own way on both parts: AUC of the first, mean of the second."""
+    d = with_avg_rank(with_test(spark, sf), ["part"], {b: f"r_{b}" for b in BASES})
+    how = {"lin": bl.weighted, "geo": bl.geometric, "rank": lambda w: bl.weighted({f"r_{c}": x for c, x in w.items()})}
+    cands = F.array(*[F.struct(F.lit(n).alias("cand"), how[m](w).alias("score")) for n, m, w in NAMED])
+    long = d.select("part", "target", F.explode(cands).alias("x")).select("part", "target", "x.*")
+    tops = auc(long.where("part = 'oof'"), ["cand"], "score", "target", sized_on=(d.where("part = 'oof'"), []))
+    means = long.where("part = 'test'").groupBy("cand").agg(F.avg("score").alias("test_mean"), F.count("*").alias("n_test"))
+    return rounded(tops.select("cand", "auc").join(means, "cand"))
 
 
 @query("B25_rank_normalise", on_laps(f"""

@@ -6,12 +6,22 @@ from ..functions import exprs as ex
 from ..operators import encoders as en
 from ..operators import target_stats as ts
 from ..operators.folds import stratified_folds
+from ..operators.timeline import neighbours
 from ..sources.laps import CATS, RYD, TARGET, laps, split_of
 from .q_domain import WITH_BINS, cross_sql
 from .q_folds import FOLDED, fold_sql, folded
 from .registry import on_laps, query, r, rounded
 
 
+#: The compound of the lap before: null on a first lap, so there is a null category to count.
+PREV = ("prev", "SELECT *, lag(Compound) OVER (PARTITION BY Race, Year, Driver ORDER BY LapNumber) AS PrevCompound FROM laps")
+INDUCTIVE = "(SELECT * FROM prev WHERE split <> 'test')"
+
+
+def with_previous(d):
+    return neighbours(d, RYD, "LapNumber", lambda w: {"PrevCompound": F.lag("Compound").over(w)}, back=1)
+
+
 def count_sql(columns, fit: str, freq: bool) -> str:
     out = ["id"]
     joins = ""
@@ -19,22 +29,25 @@ def count_sql(columns, fit: str, freq: bool) -> str:
         out.append(f"coalesce(c_{x}.n, 0) AS {x}_count")
         if freq:
             out.append(r(f"CAST(coalesce(c_{x}.n, 0) AS DOUBLE) / (SELECT count(*) FROM {fit})", f"{x}_freq"))
-        joins += f" LEFT JOIN (SELECT {x}, count(*) AS n FROM {fit} GROUP BY {x}) c_{x} ON c_{x}.{x} = l.{x}"
-    return on_laps(f"SELECT {', '.join(out)} FROM laps l{joins}")
+        same = "IS NOT DISTINCT FROM" if freq else "="
+        joins += f" LEFT JOIN (SELECT {x}, count(*) AS n FROM {fit} GROUP BY {x}) c_{x} ON c_{x}.{x} {same} l.{x}"
+    return on_laps(f"SELECT {', '.join(out)} FROM prev l{joins}", PREV)
 
 
-def freq_query(columns, fit, total):
+def freq_query(columns, keep, total):
     def run(spark, sf):
-        f = laps(spark, sf) if fit == "laps" else split_of(spark, sf, fit)
-        d = en.frequency(laps(spark, sf).select("id", *columns), f, columns, total)
+        d = with_previous(laps(spark, sf))
+        d = en.frequency(d.select("id", "split", *columns), d.where(keep), columns, total, count_null=total)
         return rounded(d.select("id", *[f"{x}_count" for x in columns], *[f"{x}_freq" for x in columns if total]))
     return run
 
 
-query("E1_frequency", count_sql(CATS, "laps", True))(freq_query(CATS, "laps", True))
-query("E2_inductive_frequency", count_sql(CATS, "train", True))(freq_query(CATS, "train", True))
 COUNTED = [*CATS, "Year", "PitStop"]
-query("E3_train_counts", count_sql(COUNTED, "train", False))(freq_query(COUNTED, "train", False))
+FREQ = [*CATS, "PrevCompound"]
+query("E1_frequency", count_sql(FREQ, "prev", True))(freq_query(FREQ, "true", True))
+query("E2_inductive_frequency", count_sql(FREQ, INDUCTIVE, True))(freq_query(FREQ, "split <> 'test'", True))
+query("E3_train_counts", count_sql([*COUNTED, "PrevCompound"], "(SELECT * FROM prev WHERE split = 'train')", False))(
+    freq_query([*COUNTED, "PrevCompound"], "split = 'train'", False))
 
 
 def code_sql(columns, fit: str, offset: int, by: str, unseen: int) -> str:

@@ -1,5 +1,7 @@
 """Folds, sampling, pseudo-labels and weights."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import folds as fo
@@ -93,10 +95,12 @@ def c8(spark, sf):
                     F.when(F.col("Year") == 2022, 1.6).otherwise(1.0).alias("w_year"))
 
 
+def poisson_cdf(k: int) -> float:
+    return sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))
+
+
 @query("C10_bootstrap_counts", on_laps(f"""
-    SELECT id, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1
-      WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4
-      WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END AS copies
+    SELECT id, CASE {' '.join(f'WHEN u < {poisson_cdf(k)!r}::DOUBLE THEN {k}' for k in range(18))} ELSE 18 END AS copies
     FROM (SELECT id, {unit_sql(11)} AS u FROM train)"""))
 def c10(spark, sf):
     return split_of(spark, sf, "train").select("id", fo.poisson_weight(11).alias("copies"))

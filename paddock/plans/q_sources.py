@@ -73,6 +73,7 @@ def pool(spark, sf):
     """A pool of base tables on disk: three good ones and one of each kind that must be refused."""
     d = oof_folded(spark, sf)
     where = folder(spark, sf, "pool")
+    last = d.agg(F.max("id")).scalar()
     bases = {
         "tyre": d.withColumn("oof", F.col("oof_a")),
         "pace": d.withColumn("oof", F.col("oof_c")),
@@ -80,13 +81,16 @@ def pool(spark, sf):
         "noise_unsubmitted": d.withColumn("oof", F.col("oof_b")),
         "short": d.where(F.col("id") % 9 != 0).withColumn("oof", F.col("oof_b")),
         "holes": d.withColumn("oof", F.when(F.col("id") % 31 != 0, F.col("oof_b"))),
+        "twice": d.withColumn("id", F.when(F.col("id") == last, F.col("id") - 1).otherwise(F.col("id"))).withColumn("oof", F.col("oof_b")),
         "blend_old": d.withColumn("oof", F.col("oof_d")),
         "tyre_rankblend": d.withColumn("oof", F.col("oof_a")),
     }
+    test = split_of(spark, sf, "test").select("id", F.lit(0.5).alias("PitNextLap"))
     for name, b in bases.items():
         sc.write_oof(b, f"{where}/oof_{name}.parquet")
-    submitted = [n for n in bases if n != "noise_unsubmitted"]
-    return sc.load_pool(spark, where, list(bases), submitted, oof(spark, sf))
+        if name != "noise_unsubmitted":
+            sc.write_submission(test, f"{where}/submission_{name}.csv")
+    return sc.load_pool(spark, where, oof(spark, sf))
 
 
 @query("S7_prediction_pool", on_laps(" UNION ALL ".join(

@@ -61,6 +61,16 @@ SELECT id, Year, Race, Compound, PitNextLap AS target,
 FROM laps WHERE split = 'train'"""
 
 
+BOTH_SQL = """
+SELECT 'oof' AS part, id, target, oof_a, oof_b, oof_c, oof_d FROM oof UNION ALL
+SELECT 'test' AS part, id, NULL AS target,
+  TyreLife / (TyreLife + CAST(10 AS DOUBLE)) AS oof_a,
+  CAST((id * 7919) % 10007 AS DOUBLE) / CAST(10007 AS DOUBLE) AS oof_b,
+  (LapTime - CAST(59 AS DOUBLE)) / (LapTime + CAST(100 AS DOUBLE)) AS oof_c,
+  CAST(0.75 AS DOUBLE) * RaceProgress + CAST(0.25 AS DOUBLE) * (CAST((id * 104729) % 1009 AS DOUBLE) / CAST(1009 AS DOUBLE)) AS oof_d
+FROM test"""
+
+
 def on_laps(sql: str, *ctes: tuple[str, str]) -> str:
     """Prefix a query with the lap tables (laps, comb, train, test, ext, oof) and more CTEs."""
     parts = [
@@ -70,6 +80,7 @@ def on_laps(sql: str, *ctes: tuple[str, str]) -> str:
         "test AS (SELECT * FROM laps WHERE split = 'test')",
         "ext AS (SELECT * FROM laps WHERE split = 'ext')",
         f"oof AS ({OOF_SQL})",
+        f"both_parts AS ({BOTH_SQL})",
     ]
     parts += [f"{name} AS ({body})" for name, body in ctes]
     return "WITH " + ",\n".join(parts) + "\n" + sql

@@ -1,13 +1,15 @@
 """Session settings, and tables staged in the shared folder the cluster names."""
 
+import atexit
 import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[str, str] = {}
 _own_dir: dict[str, str] = {}
+_cleared_at_end: set[str] = set()
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -20,12 +22,24 @@ def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("paddock.blockRows", "1000000"))
 
 
+def _path(spark: SparkSession, name: str):
+    """A Hadoop path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stage_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: `spark.checkpoint.dir`, else (local runs only) our own."""
+    """Shared folder for staged tables: `spark.checkpoint.dir`, else (local runs only) our own.
+
+    On a cluster a `file:` folder is refused, unless `paddock.sharedFiles` says that all machines mount it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
     if named:
+        if not local and spark.conf.get("paddock.sharedFiles", "false") != "true" and _path(spark, named)[1].getScheme() == "file":
+            raise RuntimeError(f"{named} is a folder of one machine; set paddock.sharedFiles=true if all mount it")
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
@@ -33,23 +47,47 @@ def stage_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def app_dir(spark: SparkSession) -> str:
+    """This application's folder of staged and cut tables; it goes when the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _cleared_at_end:
+        _cleared_at_end.add(app)
+        atexit.register(clear_staged, spark)
+    return f"{stage_dir(spark)}/{app}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all staged and cut tables of this application. Frames that read them are of no use afterwards."""
+    if spark.sparkContext._jsc is None:
+        return
+    path, fs = _path(spark, f"{stage_dir(spark)}/{spark.sparkContext.applicationId}")
+    fs.delete(path, True)
+    _staged.clear()
+
+
+def _stamp(spark: SparkSession, source: str) -> str:
+    """A source folder's tables with their sizes and times: it changes when a table does."""
+    path, fs = _path(spark, f"{source}/*")
+    found = fs.globStatus(path) or []
+    return source + "".join(sorted(f"|{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
 def staged(spark: SparkSession, name: str, source: str, build, partition_by=()) -> DataFrame:
-    """Build a table once per application and source, write it, and read it back from then on.
+    """Build a table once per application and state of the source, write it, and read it back from then on.
 
     Cuts the lineage with a written table, so lost executors do not recompute it.
     """
-    tag = hashlib.md5(source.encode()).hexdigest()[:12]
-    app = spark.sparkContext.applicationId
-    path = f"{stage_dir(spark)}/{app}/{tag}/{name}"
-    if (app, path) not in _staged:
+    tag = hashlib.md5(_stamp(spark, source).encode()).hexdigest()[:12]
+    path = f"{app_dir(spark)}/{tag}/{name}"
+    if path not in _staged:
         build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-        _staged[(app, path)] = path
+        _staged[path] = path
     return spark.read.parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a derived table that is about to be read several times, and read it back."""
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -123,3 +123,23 @@ def oof(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("LapTime") - 59.0) / (F.col("LapTime") + 100.0)).alias("oof_c"),
         (0.5 * F.col("RaceProgress") + 0.25 * F.col(TARGET) + 0.25 * noise(104729, 1009)).alias("oof_d"),
     )
+
+
+def test_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same four bases for the test laps, whose label no base may use."""
+    d = split_of(spark, sf_dir, "test")
+    noise = lambda m, p: (F.col("id") * m % p).cast("double") / float(p)
+    return d.select(
+        "id",
+        (F.col("TyreLife") / (F.col("TyreLife") + 10.0)).alias("oof_a"),
+        noise(7919, 10007).alias("oof_b"),
+        ((F.col("LapTime") - 59.0) / (F.col("LapTime") + 100.0)).alias("oof_c"),
+        (0.75 * F.col("RaceProgress") + 0.25 * noise(104729, 1009)).alias("oof_d"),
+    )
+
+
+def with_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold rows (part "oof") and test rows (part "test") of the bases, one below the other."""
+    a = oof(spark, sf_dir).select(F.lit("oof").alias("part"), "id", "target", "oof_a", "oof_b", "oof_c", "oof_d")
+    b = test_bases(spark, sf_dir).select(F.lit("test").alias("part"), "id", F.lit(None).cast("double").alias("target"), "oof_a", "oof_b", "oof_c", "oof_d")
+    return a.unionByName(b)

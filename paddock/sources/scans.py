@@ -46,21 +46,24 @@ def write_submission(df: DataFrame, path: str, key="id") -> None:
 SKIPPED = r"^(blend|stack)|rankblend"  # names of earlier blends, fixed value
 
 
-def load_pool(spark: SparkSession, folder: str, names: list[str], submitted: list[str], ref: DataFrame) -> DataFrame:
-    """(base, id, score) of every admissible base.
+def load_pool(spark: SparkSession, folder: str, ref: DataFrame) -> DataFrame:
+    """(base, id, score) of every admissible base among the tables `oof_<base>.parquet` of a folder.
 
-    A base must not itself be a blend, must have a submission, must cover exactly the reference
-    ids, and must have no missing score. All bases are judged in one pass over the pool.
+    A base must not itself be a blend, must have a `submission_<base>.csv` in the folder, must hold each reference id once
+    and no other, and must have no missing score. All bases are judged in one pass over the pool.
     """
-    paths = [f"{folder}/oof_{n}.parquet" for n in names]
     base = F.regexp_extract(F.input_file_name(), r"oof_([^/]+)\.parquet", 1)
-    preds = spark.read.schema(OOF_SCHEMA).parquet(*paths).select(base.alias("base"), "id", F.col("oof").alias("score"))
-    preds = preds.where(~F.col("base").rlike(SKIPPED) & F.col("base").isin(submitted))
-    seen = preds.join(ref.select("id", F.lit(1).alias("_known")), "id", "left")
+    preds = spark.read.schema(OOF_SCHEMA).parquet(f"{folder}/oof_*.parquet").select(base.alias("base"), "id", F.col("oof").alias("score"))
+    # Only the paths are read, not the files.
+    files = spark.read.format("binaryFile").load(f"{folder}/submission_*.csv")
+    submitted = files.select(F.regexp_extract("path", r"submission_([^/]+)\.csv", 1).alias("base")).distinct()
+    preds = preds.where(~F.col("base").rlike(SKIPPED)).join(submitted, "base", "left_semi")
+    bad = F.col("score").isNull() | F.isnan("score")
+    once = preds.groupBy("base", "id").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    seen = once.join(ref.select("id", F.lit(1).alias("_known")), "id", "left")
     n_ref = ref.agg(F.count("*")).scalar()
-    ok = seen.groupBy("base").agg(
-        F.count("*").alias("n"), F.count("_known").alias("known"), F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad"))
-    ok = ok.where((F.col("n") == n_ref) & (F.col("known") == n_ref) & (F.col("bad") == 0))
+    ok = seen.groupBy("base").agg(F.count("*").alias("ids"), F.sum("n").alias("n"), F.count("_known").alias("known"), F.sum("bad").alias("bad"))
+    ok = ok.where((F.col("n") == n_ref) & (F.col("ids") == n_ref) & (F.col("known") == n_ref) & (F.col("bad") == 0))
     return preds.join(ok.select("base"), "base", "left_semi")
 
 

@@ -14,6 +14,7 @@ from paddock.operators import target_stats as ts
 from paddock.operators.auc import auc
 from paddock.operators.spread import quantiles, search, with_avg_rank, with_position
 from paddock.operators.timeline import neighbours
+from paddock.session import staged
 from paddock.sources import scans
 
 
@@ -53,6 +54,31 @@ def test_unseen_values(spark):
     assert {r["id"]: r["code"] for r in codes.collect()} == {1: 0, 2: 1, 3: -1, 4: -1}
     counts = en.frequency(new, fit, ["c"])
     assert {r["id"]: r["c_count"] for r in counts.collect()} == {1: 1, 2: 2, 3: 0, 4: 0}
+    holes = fit.unionByName(spark.createDataFrame([(20, None), (21, None)], "id long, c string"))
+    for count_null, n in ((True, 2), (False, 0)):
+        counts = en.frequency(new, holes, ["c"], count_null=count_null)
+        assert {r["id"]: r["c_count"] for r in counts.collect()} == {1: 1, 2: 2, 3: 0, 4: n}
+
+
+def test_null_groups_keep_their_rows(spark):
+    d = spark.createDataFrame([(i, None if i < 4 else "ab"[i % 2], 2022, i % 3) for i in range(12)], "id long, g string, Year int, y int")
+    for out in (fo.group_folds(d, "g"), fo.group_stratified_folds(d, ["g"], "Year", "y")):
+        rows = {r["id"]: r["fold"] for r in out.collect()}
+        assert len(rows) == 12 and len({rows[i] for i in range(4)}) == 1
+
+
+def test_cross_keys_do_not_run_together(spark):
+    d = spark.createDataFrame([("a", None), (None, "a"), ("a", "a")], "p string, q string")
+    assert len({r["k"] for r in d.select(ex.crosses({"k": ["p", "q"]})["k"].alias("k")).collect()}) == 3
+
+
+def test_a_changed_source_is_staged_again(spark, tmp_path):
+    source = f"{tmp_path}/source"
+    read = lambda: staged(spark, "t", source, lambda: spark.read.parquet(f"{source}/a.parquet")).count()
+    spark.range(3).write.parquet(f"{source}/a.parquet")
+    assert read() == read() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{source}/a.parquet")
+    assert read() == 5
 
 
 def test_zero_divisor_gives_null(spark):

@@ -43,9 +43,10 @@ def test_importance_sums_to_one(spark):
 
 def test_adversarial_and_density_weights(spark):
     rows = {(r["measure"], r["feature"]): r["value"] for r in Q["M5_adversarial_validation"](spark, SF).collect()}
-    assert 0.5 < rows[("auc", "all")] <= 1
-    w = Q["C9_density_ratio_weights"](spark, SF).agg(F.min("weight"), F.max("weight"), F.count("*")).first()
-    assert w[0] >= 0.1 and w[1] <= 10 and w[2] == split_of(spark, SF, "ext").count()
+    # a perfect separator or one weight for all rows is a leak, not a result
+    assert 0.4 < rows[("auc", "all")] < 0.99
+    w = Q["C9_density_ratio_weights"](spark, SF).agg(F.min("weight"), F.max("weight"), F.count("*"), F.count_distinct("weight")).first()
+    assert w[0] >= 0.1 and w[1] <= 10 and w[2] == split_of(spark, SF, "ext").count() and w[3] > 20
 
 
 def test_specialist_replaces_only_its_year(spark):

@@ -1,6 +1,7 @@
 """A local session for tests, checks and the benchmark."""
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +15,7 @@ def local_session(cpus: str | None = None) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_STAGE_DIR") or tempfile.mkdtemp(prefix="paddock-"))
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
