@@ -22,6 +22,11 @@ def auc(
     limit = size_limit(*(sized_on or (df, by)))
     t = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.sum(w * F.col(label)).alias("_pos"), F.sum(w * (1 - F.col(label))).alias("_neg"))
+    return auc_of_counts(t, by, score, limit)
+
+
+def auc_of_counts(t: DataFrame, by: list[str], score: str, limit: int | None) -> DataFrame:
+    """As `auc`, from a table with one row per (group, score) and its counts `_pos` and `_neg`."""
     zero = F.lit(0)
     if limit is None:
         win = Window.partitionBy(*by).orderBy(score).rowsBetween(UNBOUNDED, -1)

@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import correlation, log_loss_row
-from .auc import auc
+from ..session import cut
+from .auc import auc, auc_of_counts
 from .encoders import fit_bins
-from .spread import quantiles, search, with_avg_rank, with_position
+from .spread import quantiles, search, size_limit, with_avg_rank, with_position
 
 
 def long_scores(df: DataFrame, bases: list[str], keep: list[str]) -> DataFrame:
@@ -16,9 +17,12 @@ def long_scores(df: DataFrame, bases: list[str], keep: list[str]) -> DataFrame:
 
 def slice_table(df: DataFrame, slices: list[str], score="score", label="target", min_n=50) -> DataFrame:
     """n, positive rate, AUC and log-loss per slice; one-class and small slices are left out."""
-    rows = df.withColumn("_ll", log_loss_row(F.col(label), F.col(score)))
-    loss = rows.groupBy(*slices).agg(F.avg("_ll").alias("logloss"))
-    a = auc(df, slices, score, label).where((F.col("n") >= min_n) & F.col("auc").isNotNull())
+    # Counts per (slice, score) say all: the loss of a row depends on its score and label alone.
+    y, s = F.col(label), F.col(score)
+    counts = cut(df.where(s.isNotNull() & y.isNotNull()).groupBy(*slices, score).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")))
+    loss = F.col("_pos") * log_loss_row(F.lit(1.0), s) + F.col("_neg") * log_loss_row(F.lit(0.0), s)
+    loss = counts.groupBy(*slices).agg((F.sum(loss) / F.sum(F.col("_pos") + F.col("_neg"))).alias("logloss"))
+    a = auc_of_counts(counts, slices, score, size_limit(counts, slices)).where((F.col("n") >= min_n) & F.col("auc").isNotNull())
     a = a.withColumn("pos_rate", F.col("n_pos") / F.col("n")).drop("n_pos")
     return a.join(loss, slices)
 

@@ -1,9 +1,11 @@
 """Exploratory reports: every table is one or two aggregates."""
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import correlation
 from .encoders import column_quantiles, long_form
 from .spread import quantiles, search, size_limit, value_ranks, with_position
 
@@ -14,15 +16,16 @@ def rate_by(df: DataFrame, keys: list, target: str, extra: dict[str, Column] = {
 
 
 def schema_table(df: DataFrame, other: DataFrame) -> DataFrame:
-    """Column, type, whether the other frame has it, distinct values and nulls."""
-    cols = df.columns
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    pairs = text.groupBy("column", "value").agg(F.count("*").alias("n"))
-    g = pairs.groupBy("column").agg(
-        F.count("value").alias("n_unique"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"))
-    types = F.create_map(*[F.lit(x) for kv in df.dtypes for x in kv])
-    return g.select("column", types[F.col("column")].alias("dtype"),
-                    F.col("column").isin(other.columns).alias("in_test"), "n_unique", "n_null")
+    """Column, type, whether the other frame has it, distinct values and nulls.
+
+    Each column is counted on its own, in its own type: a scan of that column, combined before its shuffle.
+    """
+    def one(name: str, dtype: str) -> DataFrame:
+        values = df.groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+        return values.agg(
+            F.lit(name).alias("column"), F.lit(dtype).alias("dtype"), F.lit(name in other.columns).alias("in_test"),
+            F.count("v").alias("n_unique"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
+    return reduce(DataFrame.unionByName, [one(*c) for c in df.dtypes])
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,12 +48,38 @@ def split_comparison(df: DataFrame, columns: list[str], split="split", sides=("t
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Full correlation matrix (upper triangle) from one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    """Full correlation matrix (upper triangle), over the rows that have both values; null with a constant column.
+
+    One pass for counts, means and ranges, one for sums of centred values and products. Columns without nulls share
+    their sums; a pair with a null gets sums of its own.
+    """
     x = lambda c: F.col(c).cast("double")
-    row = df.agg(*[correlation(x(a), x(b)).alias(f"{a}|{b}") for a, b in pairs])
-    part = F.split("pair", r"\|")
-    return row.unpivot([], row.columns, "pair", "corr").select(part[0].alias("a"), part[1].alias("b"), "corr")
+    first = df.agg(F.count("*").alias("n"), *[f(x(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in
+                                              (("n", F.count), ("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    z = [x(c) - F.lit(float(first[f"m{i}"] or 0.0)) for i, c in enumerate(columns)]
+    whole = [first[f"n{i}"] == first["n"] for i in range(len(columns))]
+    sums = {f"s{i}": z[i] for i in range(len(columns)) if whole[i]} | {f"q{i}": z[i] * z[i] for i in range(len(columns)) if whole[i]}
+    pairs = list(combinations(range(len(columns)), 2))
+    for i, j in pairs:
+        both = (lambda e, i=i, j=j: F.when(z[i].isNotNull() & z[j].isNotNull(), e))
+        sums[f"p{i}_{j}"] = z[i] * z[j]
+        if not (whole[i] and whole[j]):
+            sums |= {f"n{i}_{j}": both(F.lit(1.0)), f"a{i}_{j}": both(z[i]), f"b{i}_{j}": both(z[j]),
+                     f"c{i}_{j}": both(z[i] * z[i]), f"d{i}_{j}": both(z[j] * z[j])}
+    row = df.agg(*[F.sum(e).alias(k) for k, e in sums.items()])
+
+    def value(i: int, j: int) -> Column:
+        shared = whole[i] and whole[j]
+        n = F.lit(float(first["n"])) if shared else F.col(f"n{i}_{j}")
+        sx, sy, qx, qy = (F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"), F.col(f"q{j}")) if shared else (
+            F.col(f"{k}{i}_{j}") for k in "abcd")
+        vx, vy = qx - sx * sx / n, qy - sy * sy / n
+        # far below what the column's range allows is rounding, not variation
+        least = lambda k: F.lit(1e-20 * ((first[f"hi{k}"] or 0.0) - (first[f"lo{k}"] or 0.0)) ** 2)
+        return F.when((vx > least(i) * n) & (vy > least(j) * n), (F.col(f"p{i}_{j}") - sx * sy / n) / F.sqrt(vx * vy))
+
+    items = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), value(i, j).alias("corr")) for i, j in pairs])
+    return row.select(F.explode(items).alias("x")).select("x.*")
 
 
 def rate_by_quantile(df: DataFrame, column: str, target: str, bins: int) -> DataFrame:
