@@ -185,30 +185,32 @@ TS_KEYS = [
     "Driver", "Race_Year", "Driver_Race", "Driver_Compound", "Race_Compound", "Race_Compound_Stint",
     "Compound_TyreLifeBin", "RacePhase_TyreLifeBin", "Compound_Stint", "TyreLifeBin", "PositionBin",
 ]
+OUTER = '"outer"'
 TS_ROWS = [
     FOLDED, WITH_BINS,
-    ("ts_rows", f"""SELECT b.*, CASE WHEN f.fold = 0 THEN -1 ELSE f.inner_fold END AS part FROM (
+    ("ts_rows", f"""SELECT b.*, {OUTER}, CASE WHEN f.fold = {OUTER} THEN -1 ELSE f.inner_fold END AS part FROM (
         SELECT id, Driver, PitNextLap, TyreLifeBin, PositionBin, {cross_sql()} FROM binned) b
-        JOIN ({fold_sql('fold, PitNextLap', 'folded', seed=44, out='inner_fold')}) f USING (id)"""),
-    ("parts", """SELECT p.part, avg(t.PitNextLap) AS m FROM (SELECT DISTINCT part FROM ts_rows) p
-        JOIN ts_rows t ON t.part >= 0 AND t.part <> p.part GROUP BY p.part"""),
-] + [(f"st_{k}", f"""SELECT p.part, t.{k}, sum(t.PitNextLap) AS s, count(*) AS n,
-        coalesce(stddev_samp(t.PitNextLap), 0) AS sd FROM (SELECT DISTINCT part FROM ts_rows) p
-        JOIN ts_rows t ON t.part >= 0 AND t.part <> p.part GROUP BY p.part, t.{k}""") for k in TS_KEYS]
+        JOIN ({fold_sql('fold, PitNextLap', 'folded', seed=44, out='inner_fold')}) f USING (id)
+        CROSS JOIN (SELECT CAST(unnest(range(5)) AS INT) AS {OUTER})"""),
+    ("seen", f"SELECT DISTINCT {OUTER}, part FROM ts_rows"),
+    ("parts", f"""SELECT p.{OUTER}, p.part, avg(t.PitNextLap) AS m FROM seen p
+        JOIN ts_rows t ON t.{OUTER} = p.{OUTER} AND t.part >= 0 AND t.part <> p.part GROUP BY p.{OUTER}, p.part"""),
+] + [(f"st_{k}", f"""SELECT p.{OUTER}, p.part, t.{k}, sum(t.PitNextLap) AS s, count(*) AS n,
+        coalesce(stddev_samp(t.PitNextLap), 0) AS sd FROM seen p
+        JOIN ts_rows t ON t.{OUTER} = p.{OUTER} AND t.part >= 0 AND t.part <> p.part GROUP BY p.{OUTER}, p.part, t.{k}""") for k in TS_KEYS]
 TS_OUT = ", ".join(
     f"{r(f'coalesce((st_{k}.s + p.m * 20) / (st_{k}.n + 20), p.m)', f'ts_{k}_mean')}, "
     f"{r(f'coalesce(st_{k}.sd, 0)', f'ts_{k}_std')}, coalesce(st_{k}.n, 0) AS ts_{k}_cnt" for k in TS_KEYS)
 
 
 @query("E13_target_stats", on_laps(
-    f"SELECT a.id, {TS_OUT} FROM ts_rows a JOIN parts p ON p.part = a.part "
-    + " ".join(f"LEFT JOIN st_{k} ON st_{k}.part = a.part AND st_{k}.{k} = a.{k}" for k in TS_KEYS), *TS_ROWS))
+    f"SELECT a.id, a.{OUTER}, {TS_OUT} FROM ts_rows a JOIN parts p ON p.{OUTER} = a.{OUTER} AND p.part = a.part "
+    + " ".join(f"LEFT JOIN st_{k} ON st_{k}.{OUTER} = a.{OUTER} AND st_{k}.part = a.part AND st_{k}.{k} = a.{k}" for k in TS_KEYS), *TS_ROWS))
 def e13(spark, sf):
     d = stratified_folds(folded(spark, sf), ["fold", TARGET], seed=44, out="inner_fold")
-    d = d.withColumn("part", F.when(F.col("fold") == 0, -1).otherwise(F.col("inner_fold")))
     d = d.withColumns(ex.bins()).withColumns(ex.crosses())
-    out = ts.add_target_stats(d.select("id", TARGET, "part", *TS_KEYS), TS_KEYS, TARGET, "part")
-    return rounded(out.select("id", *[f"ts_{k}_{s}" for k in TS_KEYS for s in ("mean", "std", "cnt")]))
+    out = ts.add_target_stats(d.select("id", TARGET, "fold", "inner_fold", *TS_KEYS), TS_KEYS, TARGET, "fold", "inner_fold")
+    return rounded(out.select("id", "outer", *[f"ts_{k}_{s}" for k in TS_KEYS for s in ("mean", "std", "cnt")]))
 
 
 @query("E14_plain_target_encoding", on_laps(
