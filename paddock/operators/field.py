@@ -27,7 +27,7 @@ def race_level(df: DataFrame, keys=RY) -> DataFrame:
     )
 
 
-def pit_window(df: DataFrame, keys=R, lo=0.05, hi=0.95, method="linear") -> DataFrame:
+def pit_window(df: DataFrame, keys=R, lo=0.05, hi=0.95, method="nearest") -> DataFrame:
     """The lap band in which a race's stops happen."""
     return quantiles(
         df.where(F.col("PitStop") == 1), keys, "LapNumber", {"pit_window_start": lo, "pit_window_end": hi}, method=method
@@ -51,12 +51,12 @@ def lap_table(df: DataFrame, time="LapTime") -> DataFrame:
     return stats.join(quantiles(df, RYL, time, {"field_median_laptime": 0.5}), RYL)
 
 
-def baseline_pace(lap: DataFrame, method="linear") -> DataFrame:
+def baseline_pace(lap: DataFrame, method="nearest") -> DataFrame:
     """Lower-quartile field pace per race, every row of a lap counting once."""
     return quantiles(lap, RY, "field_median_laptime", {"_baseline": 0.25}, weight="n_lap", method=method)
 
 
-def add_pace_ratio(lap: DataFrame, threshold=SC_THRESHOLD, method="linear") -> DataFrame:
+def add_pace_ratio(lap: DataFrame, threshold=SC_THRESHOLD, method="nearest") -> DataFrame:
     """Field pace against the race's baseline; well above it a safety car is likely."""
     m = F.col("field_median_laptime")
     return lap.join(baseline_pace(lap, method), RY).withColumns({

@@ -92,7 +92,7 @@ def typical_stint(stints: DataFrame) -> DataFrame:
     )
 
 
-def compound_life(stints: DataFrame, p=0.95, method="linear") -> DataFrame:
+def compound_life(stints: DataFrame, p=0.95, method="nearest") -> DataFrame:
     return quantiles(
         stints.withColumnRenamed("stint_compound", "Compound"), ["Compound"], "stint_length",
         {"compound_max_life": p}, method=method,

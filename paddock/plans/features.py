@@ -29,7 +29,7 @@ FEATURES = [
 ]
 
 
-def build_features(laps: DataFrame, cut, method: str = "linear") -> DataFrame:
+def build_features(laps: DataFrame, cut, method: str = "nearest") -> DataFrame:
     """Engineer every feature; `cut(name, build)` stages the tables that are read more than once.
 
     `method` is the quantile flavour of the pace baseline, tyre life and pit window. Everything that

@@ -14,12 +14,19 @@ FIELD = ("field", """
     avg(CASE WHEN Compound IN ('INTERMEDIATE', 'WET') THEN CAST(1 AS DOUBLE) ELSE 0 END) AS wet_compound_share,
     CAST(sum(PitStop) AS BIGINT) AS pit_sum, count(*) AS n_lap
   FROM comb GROUP BY Race, Year, LapNumber""")
-PACE = ("pace", """
+
+
+def nearest(x: str, q: float) -> str:
+    """SQL of the order statistic closest to a quantile."""
+    return f"list_sort(list({x}))[CAST(round((count(*) - 1) * CAST({q} AS DOUBLE)) AS INT) + 1]"
+
+
+PACE = ("pace", f"""
   SELECT f.*, f.field_median_laptime / b.q AS field_pace_ratio,
     CAST(f.field_median_laptime > b.q * 1.15 AS INT) AS sc_likely,
     CAST(f.pit_sum AS DOUBLE) / f.n_lap AS share
   FROM field f JOIN (
-    SELECT Race, Year, quantile_cont(field_median_laptime, 0.25) AS q
+    SELECT Race, Year, {nearest('field_median_laptime', 0.25)} AS q
     FROM comb JOIN field USING (Race, Year, LapNumber) GROUP BY Race, Year) b USING (Race, Year)""")
 SC = ("sc", """
   SELECT *, CASE WHEN epoch = 0 THEN NULL ELSE
@@ -69,8 +76,8 @@ COST = ("cost", """
   SELECT Race, quantile_cont(LapTime, 0.5) FILTER (WHERE PitStop = 1)
     - quantile_cont(LapTime, 0.5) FILTER (WHERE PitStop = 0) AS pit_cost_seconds
   FROM comb GROUP BY Race""")
-WINDOW = ("pw", """
-  SELECT Race, quantile_cont(LapNumber, 0.05) AS pit_window_start, quantile_cont(LapNumber, 0.95) AS pit_window_end
+WINDOW = ("pw", f"""
+  SELECT Race, {nearest('LapNumber', 0.05)} AS pit_window_start, {nearest('LapNumber', 0.95)} AS pit_window_end
   FROM comb WHERE PitStop = 1 GROUP BY Race""")
 CELLS = ("cells", """
   SELECT Race, Year, LapNumber, Position, avg(pit_stops_last_3) AS m3, avg(pit_stops_last_5) AS m5
@@ -78,8 +85,8 @@ CELLS = ("cells", """
 TYPICAL = ("typical", """
   SELECT stint_compound AS Compound, Race, quantile_cont(stint_length, 0.5) AS typical_stint_length
   FROM stints GROUP BY stint_compound, Race""")
-LIFE = ("life", """
-  SELECT stint_compound AS Compound, quantile_cont(stint_length, 0.95) AS compound_max_life
+LIFE = ("life", f"""
+  SELECT stint_compound AS Compound, {nearest('stint_length', 0.95)} AS compound_max_life
   FROM stints GROUP BY stint_compound""")
 START = ("startpace", """
   SELECT Race, Year, Driver, Stint, avg(LapTime) AS stint_start_pace
@@ -364,12 +371,7 @@ def f29(spark, sf):
     return on_lap(d, lap, *F29)
 
 
-def nearest(x: str, q: float) -> str:
-    """SQL of the order statistic closest to a quantile."""
-    return f"list_sort(list({x}))[CAST(round((count(*) - 1) * CAST({q} AS DOUBLE)) AS INT) + 1]"
-
-
-# the same three features with nearest order statistics in place of interpolated quantiles
+# the same three features on their own, with the nearest order statistic (the default) and with interpolated quantiles
 @query("F5_pace_ratio_nearest", on_laps(f"""
     SELECT id, {r('field_median_laptime / q', 'field_pace_ratio')}, CAST(field_median_laptime > q * 1.15 AS INT) AS sc_likely
     FROM comb JOIN field USING (Race, Year, LapNumber) JOIN (SELECT Race, Year, {nearest('field_median_laptime', 0.25)} AS q
@@ -392,6 +394,28 @@ def f18_nearest(spark, sf):
     return rounded(fl.pit_window(combined(spark, sf), method="nearest"))
 
 
+@query("F5_pace_ratio_linear", on_laps(f"""
+    SELECT id, {r('field_median_laptime / q', 'field_pace_ratio')}, CAST(field_median_laptime > q * 1.15 AS INT) AS sc_likely
+    FROM comb JOIN field USING (Race, Year, LapNumber) JOIN (SELECT Race, Year, quantile_cont(field_median_laptime, 0.25) AS q
+      FROM comb JOIN field USING (Race, Year, LapNumber) GROUP BY Race, Year) USING (Race, Year)""", FIELD))
+def f5_linear(spark, sf):
+    d = combined(spark, sf)
+    return on_lap(d, fl.add_pace_ratio(fl.lap_table(d), method="linear"), "field_pace_ratio", "sc_likely")
+
+
+@query("F16_compound_life_linear", on_laps(f"""
+    SELECT stint_compound AS Compound, {r('quantile_cont(stint_length, 0.95)', 'compound_max_life')} FROM stints GROUP BY 1""", STINTS))
+def f16_linear(spark, sf):
+    return rounded(lf.compound_life(lf.completed_stints(combined(spark, sf)), method="linear"))
+
+
+@query("F18_pit_window_linear", on_laps(f"""
+    SELECT Race, {r('quantile_cont(LapNumber, 0.05)', 'pit_window_start')}, {r('quantile_cont(LapNumber, 0.95)', 'pit_window_end')}
+    FROM comb WHERE PitStop = 1 GROUP BY Race"""))
+def f18_linear(spark, sf):
+    return rounded(fl.pit_window(combined(spark, sf), method="linear"))
+
+
 RAW = ["id", "Driver", "Compound", "Race", "Year", "PitStop", "LapNumber", "Stint", "TyreLife", "Position", "split"]
 
 
