@@ -5,6 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import folds as fo
+from ..operators import observations as ob
+from ..session import cut
 from ..sources.laps import RYD, TARGET, laps, oof, split_of
 from .registry import on_laps, query, r, rounded
 
@@ -76,13 +78,14 @@ def c6(spark, sf):
 
 
 @query("C7_subsample_flagged", on_laps(f"""
-    SELECT id, fold, Is_Late AS flagged FROM (
-      SELECT *, row_number() OVER (PARTITION BY fold, Is_Late ORDER BY {hash_sql(42)}, id) AS p,
-        count(*) OVER (PARTITION BY fold, Is_Late) AS n
-      FROM (SELECT *, CAST(Stint >= 3 AS INT) AS Is_Late FROM folded))
-    WHERE Is_Late = 0 OR p <= floor(n * CAST(0.3 AS DOUBLE))""", FOLDED))
+    SELECT id, fold, noisy AS flagged FROM (
+      SELECT *, row_number() OVER (PARTITION BY fold, noisy ORDER BY {hash_sql(42)}, id) AS p,
+        count(*) OVER (PARTITION BY fold, noisy) AS n
+      FROM (SELECT *, CAST((PitNextLap = 1 AND inc = 0) OR (PitNextLap = 0 AND inc >= 1) AS INT) AS noisy FROM (
+        SELECT *, coalesce((lead(Stint) OVER (PARTITION BY Race, Year, Driver ORDER BY LapNumber)) - Stint, 0) AS inc FROM folded)))
+    WHERE noisy = 0 OR p <= floor(n * CAST(0.3 AS DOUBLE))""", FOLDED))
 def c7(spark, sf):
-    d = folded(spark, sf).select("id", "fold", (F.col("Stint") >= 3).cast("int").alias("flagged"))
+    d = cut(ob.add_label_noise(folded(spark, sf)).select("id", "fold", F.col("noisy").alias("flagged")))
     return fo.subsample_flagged(d, "fold", "flagged", 0.3)
 
 
