@@ -1,17 +1,19 @@
 """License scans: a positional rare-token index. DataFrame expressions only.
 
 Templates are short passages of well-known licences. Their rarer words are the index: word -> (template, position in it).
-Of each file the licence words with the highest IDF (over all files of the table) are looked up; two of them that agree on
+Of each file the licence words with the highest IDF (over the files that may match) are looked up; two of them that agree on
 the relative position of a template (one, where the file holds only one of its index words) make a candidate; a candidate counts if the
 template's mandatory key phrase stands at its place. Its score is the share of the template's words found in place.
 
 Three fixed phrases give base labels wherever their words stand in a row. Files are A-Z lower-cased; words are runs without ASCII
 controls, punctuation or white space. The scan is one pass without a shuffle, after one pass that counts files per
-index word (as many rows as the index has words). Words are only taken apart in files with an index word; no other file can match.
+index word (as many rows as the index has words). Words are only taken apart in files with a word of GATES; no other file can match.
 
 Null texts count as empty: no words, no labels, score 0. Repeated rows and null keys are scanned like any other.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ TEMPLATES = (
 COMMON = frozenset("a and any are as by can conditions copy file following for form forms free general in into is it its may not of or person public "
                    "purpose released source terms that the this to under use used v version with without work you 0 2 3 4".split())
 TOP_WORDS = 8
+#: Fixed: every key phrase, of templates and of the base labels, holds one of these.
+GATES = ("licen", "redistribution", "attribution", "permission", "unencumbered")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased.
@@ -52,9 +56,10 @@ def index_words(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, t, _ in templates for w in t.split()} - COMMON)
 
 
-def _candidate(text: Column, words: list[str]) -> Column:
-    """Whether a file may hold an index word; the words of the base phrases are among them."""
-    return F.rlike(text, F.lit("(?i)" + "|".join(words)))
+def _candidate(text: Column, gates=GATES) -> Column:
+    """Whether a file may hold a key phrase: plain substring searches. lower() maps more than A-Z, which only lets more files in."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(g)) for g in gates])
 
 
 def _words(text: Column) -> Column:
@@ -67,7 +72,7 @@ def _strings(xs) -> Column:
 
 def file_counts(docs: DataFrame, words: list[str], text: str = "text") -> dict[str, int]:
     """Files per index word; at most one row per index word reaches the driver."""
-    rows = docs.where(_candidate(F.col(text), words)).select(F.array_intersect(_words(F.col(text)), _strings(words)).alias("w"))
+    rows = docs.where(_candidate(F.col(text))).select(F.array_intersect(_words(F.col(text)), _strings(words)).alias("w"))
     return {r.w: r.n for r in rows.select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -93,7 +98,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", text: str =
     none = F.expr("cast(array() as array<struct<t:int,at:int>>)")
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    words = F.when(_candidate(F.col("text"), vocabulary), _words(F.col("text")))
+    words = F.when(_candidate(F.col("text")), _words(F.col("text")))
     rows = rows.select("doc_id", F.coalesce(F.regexp_count(F.col("text"), F.lit(_ANY_WORD)), F.lit(0)).cast("bigint").alias("n_words"),
                        F.coalesce(words, F.expr("cast(array() as array<string>)")).alias("words"))
     rows = rows.withColumn("rare", F.slice(F.array_intersect(_strings(ranked), "words"), 1, TOP_WORDS))
@@ -115,7 +120,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", text: str =
         rows = rows.withColumn("places", none)
     share = lambda p: F.aggregate(F.transform(F.get(body, p["t"]), lambda w, i: F.when(F.get("words", p["at"] + i) == w, 1.0).otherwise(0.0)),
                                   F.lit(0.0), lambda a, x: a + x) / F.size(F.get(body, p["t"]))
-    rows = rows.withColumn("base", F.transform(F.array(*[F.struct(F.lit(x).alias("label"), _places(F.col("words"), p.split()).alias("at")) for p, x in PHRASES]), lambda s: s))
+    rows = rows.withColumn("base", F.array(*[F.struct(F.lit(x).alias("label"), _places(F.col("words"), p.split()).alias("at")) for p, x in PHRASES]))
     found = F.filter("base", lambda s: F.size(s["at"]) > 0)
     starts = F.flatten(F.transform("base", lambda s: s["at"]))
     rows = rows.withColumn("starts", starts).withColumn("found", F.array_sort(F.array_distinct(F.transform(found, lambda s: s["label"]))))
