@@ -70,5 +70,50 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_mixing, op2_quality_rules, op3_licenses, op4_token_counts, op5_ngram_join, op6_pii, op7_url_filter, op8_mixing, op9_quality_fm, op10_decontamination)}
-#: Hashing, alignment, learned models and tokenizers have no SQL text; tests/llm hold these queries against brute force.
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = r"[\x20\x09-\x0D]"
+
+OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
+-- bytes of every text, and the buckets of the 1-, 2- and 3-byte grams that start at each
+x AS (SELECT k, good, hex(encode(text)) AS h FROM d),
+b AS (SELECT k, good, i, CAST('0x' || substr(h, 2 * i + 1, 2) AS UBIGINT) AS v, length(h) // 2 AS n FROM (SELECT *, unnest(range(length(h) // 2)) AS i FROM x)),
+w AS (SELECT k, good, v AS v0, lead(v, 1) OVER t AS v1, lead(v, 2) OVER t AS v2 FROM b WINDOW t AS (PARTITION BY k ORDER BY i)),
+g AS (
+  SELECT k, good, (1 * 16777619 + v0) % 4294967296 AS h FROM w
+  UNION ALL SELECT k, good, ((2 * 16777619 + v0) * 16777619 + v1) % 4294967296 FROM w WHERE v1 IS NOT NULL
+  UNION ALL SELECT k, good, ((((3 * 16777619 + v0) * 16777619 + v1) % 4294967296) * 16777619 + v2) % 4294967296 FROM w WHERE v2 IS NOT NULL),
+c AS (SELECT k, good, (h * 2654435769 % 4294967296) // 65536 AS bucket FROM g),
+t AS (SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE good) AS target FROM c GROUP BY bucket),
+z AS (SELECT 65536 + sum(raw) AS raw, 65536 + sum(target) AS target FROM t),
+lr AS (SELECT bucket, CASE WHEN z.target = 65536 THEN 0 ELSE ln((t.target + 1) / z.target) - ln((t.raw + 1) / z.raw) END AS r FROM t, z),
+llr AS (SELECT k, avg(r) AS llr FROM c JOIN lr USING (bucket) GROUP BY k),
+-- words, windows of eight, lines
+ws AS (SELECT k, [x for x in string_split_regex(text, '{_SPACE}+') if x <> ''] AS ws FROM d),
+win AS (SELECT k, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - 6)) AS i FROM ws)),
+rep AS (SELECT k, count(DISTINCT j) AS n FROM (
+  SELECT k, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY k, win) AS m FROM win) WHERE m > 1) GROUP BY k),
+dup AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+f AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{_SPACE}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, round(coalesce(llr, 0), 6) AS llr
+  FROM d JOIN ws USING (k) LEFT JOIN rep USING (k) LEFT JOIN dup USING (k) LEFT JOIN llr USING (k)),
+v AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND llr >= {quality_rules.THRESHOLD} AS kept FROM v"""
+
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, [x for x in string_split_regex({_LOWER}, '{_SPACE}+') if x <> ''] AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, i = x.c AND i = y.c AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * i >= 4 * (x.c + y.c - i)),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id),
+c AS (SELECT doc_id, min(m) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS links, count(*) FILTER (WHERE same) AS copies, min(b) FILTER (WHERE same) AS first FROM l GROUP BY a)
+SELECT doc_id, class_id, least(doc_id, coalesce(first, doc_id)) AS copy_id, 1 + coalesce(copies, 0) AS n_copies, coalesce(links, 0) AS n_links
+FROM c LEFT JOIN k USING (doc_id)"""
+
+#: Alignment, learned models, byte-pair tokens and search for terms have no SQL text; tests/llm hold those queries against brute force.
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op5_ngram_join": OP5_SQL}
