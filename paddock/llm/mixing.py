@@ -9,7 +9,7 @@ drawn) such that the expected tokens of every domain meet a target:
 P is the inverse of A A' (slightly regularised, scaled to curvature one), so that small domains are met as well as large ones
 and the step size doesn't depend on the input's size. Projected gradient: r <- max(0, r - step * gradient). All that a step
 needs from the corpus is A r, one number per domain, so a step is one aggregate over the rows; a document's rate follows from
-the residuals so far and is written out every STORE steps.
+the gradients so far, which every step replays, and is never stored between steps.
 
 The classifier learns from about FIT_ROWS labelled documents (chosen by a hash of the key); posteriors, totals and
 rates cover all documents. Null and empty texts have no tokens: their rate stays at 1. Without two labelled domains
@@ -18,8 +18,10 @@ there is one domain, and all rates are 1. Repeated rows are rows of their own.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paddock.llm.batches import add_columns, map_texts, word_hashes
 from paddock.session import cut
@@ -30,7 +32,6 @@ EPOCHS = 4
 RATE = 0.5
 L2 = 1e-5
 STEPS = 48
-STORE = 8
 #: Change of a domain's tokens, as a share of all tokens, at which the fit ends.
 TOLERANCE = 1e-5
 RIDGE = 0.02
@@ -135,48 +136,63 @@ def targets(domains: list[str], now: np.ndarray, shares: dict[str, float] | None
     return now.sum() * x / x.sum() if x.sum() > 0 else now
 
 
-def _rate(history: list[tuple[list[float], float]], ridge: float, k: int):
-    """A document's rate after the steps in `history`: a chain of column expressions over its own posteriors."""
-    steps = F.array(*[F.struct(*[F.lit(float(x)).alias(f"g{d}") for d, x in enumerate(g)], F.lit(float(s)).alias("s")) for g, s in history])
-    pull = lambda h: sum(((F.col(f"p_{d}") * h[f"g{d}"]) for d in range(1, k)), F.col("p_0") * h["g0"])
-    return F.aggregate(steps, F.col("rate"), lambda r, h: F.greatest(F.lit(0.0), r - h["s"] * (F.col("n_tokens") * pull(h) + ridge * (r - 1.0))))
+def replayed(batch: pa.RecordBatch, history: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of a batch's documents after the steps in `history`, and the tokens (documents, domains) behind A."""
+    names = batch.schema.names
+    column = lambda c: pc.fill_null(batch.column(names.index(c)), 0).to_numpy(zero_copy_only=False).astype(float)
+    k = sum(n.startswith("p_") for n in names)
+    a = np.stack([column(f"p_{d}") for d in range(k)], axis=1) * column("n_tokens")[:, None]
+    r = np.ones(len(a))
+    for g in history:
+        r = np.maximum(0, r - (a @ g + ridge * (r - 1)) / (1 + ridge))
+    return r, a
+
+
+def _totals(members: DataFrame, history: list[np.ndarray], ridge: float, k: int) -> np.ndarray:
+    """A r: each task sums its documents, and one aggregate sums the tasks."""
+
+    def run(batches):
+        total = np.zeros(k)
+        for b in batches:
+            r, a = replayed(b, history, ridge)
+            total += r @ a
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"t{d}" for d in range(k)])
+
+    parts = members.select("n_tokens", *[f"p_{d}" for d in range(k)]).mapInArrow(run, ", ".join(f"t{d} double" for d in range(k)))
+    row = parts.agg(*[F.sum(f"t{d}").alias(f"t{d}") for d in range(k)]).first()
+    return np.array([row[d] or 0.0 for d in range(k)])
 
 
 def rates(members: DataFrame, domains: list[str], shares: dict[str, float] | None = None, steps: int = STEPS, ridge: float = RIDGE) -> tuple[DataFrame, list[dict]]:
     """`members` with `rate`, and per step the tokens expected of each domain."""
     k = len(domains)
     a = [F.col("n_tokens") * F.col(f"p_{d}") for d in range(k)]
-    m = members.agg(F.sum("n_tokens").alias("tokens"),
-                    *[F.sum(x * y).alias(f"q{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(a) if j >= i],
-                    *[F.sum(x).alias(f"t{d}") for d, x in enumerate(a)]).first()
-    gram = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            gram[i, j] = gram[j, i] = m[f"q{i}_{j}"] or 0.0
-    now = np.array([m[f"t{d}"] or 0.0 for d in range(k)])
+    m = members.agg(*[F.sum(x * y).alias(f"q{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(a) if j >= i]).first()
+    gram = np.array([[m[f"q{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    now = _totals(members, [], ridge, k)
+    total = now.sum()
     want = targets(domains, now, shares)
     log = [dict(zip(domains, now, strict=True))]
     top = float(np.linalg.eigvalsh(gram)[-1])
-    members = members.withColumn("rate", F.lit(1.0))
-    if top <= 0:
-        return members, log
-    pre = np.linalg.inv(gram / top + 1e-6 * np.eye(k)) / top
-    pre /= max(1e-300, float(np.max(np.abs(np.linalg.eigvals(pre @ gram)))))
-    step = 1 / (1 + ridge)
-    history: list[tuple[list[float], float]] = []
-    for _ in range(steps):
-        history.append((((now - want) @ pre).tolist(), step))
-        if len(history) > STORE:
-            members = cut(members.withColumn("rate", _rate(history[:-1], ridge, k)))
-            history = history[-1:]
-        r = members.withColumn("rate", _rate(history, ridge, k)).agg(*[F.sum(F.col("rate") * x).alias(f"t{d}") for d, x in enumerate(a)]).first()
-        after = np.array([r[f"t{d}"] or 0.0 for d in range(k)])
-        done = np.abs(after - now).max() <= TOLERANCE * max(1.0, float(m.tokens or 0))
-        now = after
-        log.append(dict(zip(domains, now, strict=True)))
-        if done:
-            break
-    return members.withColumn("rate", F.round(_rate(history, ridge, k), 9)), log
+    history: list[np.ndarray] = []
+    if top > 0:
+        pre = np.linalg.inv(gram / top + 1e-6 * np.eye(k)) / top
+        pre /= max(1e-300, float(np.max(np.abs(np.linalg.eigvals(pre @ gram)))))
+        for _ in range(steps):
+            history.append((now - want) @ pre)
+            after = _totals(members, history, ridge, k)
+            done = np.abs(after - now).max() <= TOLERANCE * max(1.0, total)
+            now = after
+            log.append(dict(zip(domains, now, strict=True)))
+            if done:
+                break
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(replayed(b, history, ridge)[0], 9))], names=[*b.schema.names, "rate"])
+
+    fields = T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())])
+    return members.mapInArrow(run, fields), log
 
 
 def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
