@@ -19,7 +19,7 @@ BUCKETS = 1 << 16
 #: Mean log ratio (nats per n-gram) below which a document is rejected.
 THRESHOLD = -0.3
 #: A labelled table up to this many trusted rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -100,8 +100,8 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
         raw[r.bucket] += r.n_raw
         good[r.bucket] += r.n_target
     if good.sum() == BUCKETS:
-        return np.zeros(BUCKETS, np.float32)
-    return (np.log(good / good.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+        return np.zeros(BUCKETS)
+    return (np.log(good / good.sum()) - np.log(raw / raw.sum()))
 
 
 def _repeat_words(words: list[list[bytes]]) -> np.ndarray:
@@ -142,7 +142,7 @@ def _mean_ratio(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     data, offsets = _joined(texts)
     total, grams = np.zeros(len(texts)), np.zeros(len(texts))
     for n, h in enumerate(buckets_of(data), 1):
-        sums = np.concatenate([[0.0], np.cumsum(weights[h].astype(np.float64))])
+        sums = np.concatenate([[0.0], np.cumsum(weights[h])])
         a = np.minimum(offsets[:-1], len(h))
         b = np.clip(offsets[1:] - n + 1, a, len(h))
         total += sums[b] - sums[a]
@@ -157,7 +157,7 @@ def judge(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, te
         words = [t.split() for t in texts]
         n = np.array([len(w) for w in words], np.int64)
         repeat = _repeat_words(words)
-        llr = np.round(_mean_ratio(texts, weights), 9)
+        llr = np.round(_mean_ratio(texts, weights), 6)
         failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
         return {
             "n_words": n,
