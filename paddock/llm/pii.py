@@ -14,7 +14,6 @@ generalised to `<NUMBER>`, one that begins with a capital to `<NAME>`, and any o
 Null texts count as empty: no spans. Repeated rows get equal spans (rows are told apart by key and text). Null keys stay.
 """
 
-import hashlib
 import re
 import zlib
 from collections import Counter
