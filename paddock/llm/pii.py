@@ -2,20 +2,20 @@
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers; the values found are the protected
 entities. A term is a word within NEAR words of an entity, lower-cased, without punctuation at its ends. Over all
-documents, with P(x) the share of documents that hold x,
+distinct texts, with n(x) the texts that hold x, N all of them and P(value) = n(value) / N,
 
-    PMI(term, value) = log2 P(term, value) / (P(term) P(value)),   IC(value) = -log2 P(value),
+    P(value | term) = (n(term, value) + SMOOTH P(value)) / (n(term) + SMOOTH),
+    PMI(term, value) = log2 P(value | term) / P(value),   IC(value) = -log2 P(value),
 
-and a term discloses a value if PMI / IC reaches DISCLOSURE (1: every document with the term holds the value) and the
-two meet in at least MIN_CONTEXTS different surroundings, so mere copies of one text disclose nothing. Terms are counted
-wherever they stand, and marked where they stand near the value they disclose. A marked term with a digit is
+and a term discloses a value if PMI / IC reaches DISCLOSURE (1: every text with the term holds the value). Values met once are
+rated like all others: the smoothing asks for more meetings where a value tells little, and copies of one text count once. Terms
+are counted wherever they stand, and marked where they stand near the value they disclose. A marked term with a digit is
 generalised to `<NUMBER>`, one that begins with a capital to `<NAME>`, and any other is removed.
 
 Null texts count as empty: no spans. Repeated rows get equal spans (rows are told apart by key and text). Null keys stay.
 """
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.llm.batches import bit_table, in_table, map_texts, slices, texts_of
+from paddock.llm.batches import bit_table, bounded_broadcast, in_table, map_texts, slices, texts_of, word_hashes
 from paddock.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 5
 DISCLOSURE = 0.9
-MIN_CONTEXTS = 3
+#: Texts that hold a term without its value, as far as prior belief goes: one meeting in a small corpus is no evidence.
+SMOOTH = 1.0
+#: A table of repeated texts up to this many rows is broadcast.
+REPEATED_ROWS = 1_000_000
 #: log2 of the bits in the table that picks terms to count.
 FILTER_BITS = 23
 #: Distinct terms a task holds before it hands its counts on.
@@ -44,6 +47,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}*|<>#$%&"
+_EDGE_BYTES = _EDGE.encode()
 _ASCII_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -95,8 +99,8 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _contexts(s: str, spans) -> list[tuple[str, str, int, int, int]]:
-    """(value, term, start, end, surroundings) for the words near each entity."""
+def _contexts(s: str, spans) -> list[tuple[str, str, int, int]]:
+    """(value, term, start, end) for the words near each entity."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(s)]
     starts = [a for a, _ in words]
     covered = sorted((a, b) for _, a, b in spans)
@@ -108,7 +112,6 @@ def _contexts(s: str, spans) -> list[tuple[str, str, int, int, int]]:
         i = int(np.searchsorted(starts, a, "right")) - 1
         j = int(np.searchsorted(starts, b, "left"))
         near = [*words[max(0, i - NEAR) : max(0, i)], *words[j : j + NEAR]]
-        around = zlib.crc32(" ".join(s[x:y] for x, y in near).encode())
         seen = set()
         for x, y in near:
             k = int(np.searchsorted(cov_a, y, "left")) - 1
@@ -120,13 +123,13 @@ def _contexts(s: str, spans) -> list[tuple[str, str, int, int, int]]:
             if len(term) < 2 or (x, y) in seen:
                 continue
             seen.add((x, y))
-            out.append((value, term.lower(), x + left, x + left + len(term), around))
+            out.append((value, term.lower(), x + left, x + left + len(term)))
     return out
 
 
 _FOUND = (
     "_key bigint, fp bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, "
-    "value array<string>, term array<string>, start array<int>, stop array<int>, around array<bigint>"
+    "value array<string>, term array<string>, start array<int>, stop array<int>"
 )
 
 
@@ -144,7 +147,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 out["n_" + k].append(n[k])
             out["base"].append(joined(spans))
             rows = _contexts(s, spans) if spans else []
-            for name, i in (("value", 0), ("term", 1), ("start", 2), ("stop", 3), ("around", 4)):
+            for name, i in (("value", 0), ("term", 1), ("start", 2), ("stop", 3)):
                 out[name].append([r[i] for r in rows])
         yield out
 
@@ -153,13 +156,21 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def _near(found: DataFrame) -> DataFrame:
-    z = F.explode(F.arrays_zip("value", "term", "start", "stop", "around")).alias("z")
+    z = F.explode(F.arrays_zip("value", "term", "start", "stop")).alias("z")
     return found.where(F.size("term") > 0).select("_key", "fp", z).select("_key", "fp", "z.*")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n_docs): documents that hold each term of `terms`, over all documents.
+def _wanted(s: str, table: np.ndarray) -> list[str]:
+    """Distinct terms of a text whose bit is set in the table, cut as `_contexts` cuts them."""
+    words = list({w.strip(_EDGE_BYTES) for w in s.lower().encode().split()})
+    h = word_hashes(words) & np.uint32((1 << FILTER_BITS) - 1)
+    return [words[i].decode() for i in in_table(table, h)]
 
+
+def term_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n_docs): distinct texts that hold each term of `terms`, over all documents.
+
+    A text with n copies (`repeated`: fp, n) counts 1 / n at each of them, so texts need not be shuffled to be counted once.
     A bit table of fixed size tells tasks which terms may be wanted; the join afterwards is exact.
     """
     slot = F.crc32(F.col("term").cast("binary")) % (1 << FILTER_BITS)
@@ -169,50 +180,52 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
         total = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n_docs"])
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["term", "n_docs"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for t in texts_of(part.column(0)):
-                    words = list({w.strip(_EDGE) for w in t.decode("utf-8", "replace").lower().split()})
-                    h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) & np.uint32((1 << FILTER_BITS) - 1)
-                    for i in in_table(table, h):
-                        total[words[i]] += 1
+                for t, share in zip(texts_of(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    for w in _wanted(t.decode("utf-8", "replace"), table):
+                        total[w] += share
                 if len(total) > _FLUSH:
                     yield out()
                     total.clear()
         yield out()
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "term string, n_docs bigint")
-    return counts.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
+    rows = docs.select(F.xxhash64(text).alias("fp"), F.col(text).alias("text")).join(bounded_broadcast(repeated, REPEATED_ROWS), "fp", "left")
+    counts = rows.select("text", F.coalesce(F.lit(1.0) / F.col("n"), F.lit(1.0)).alias("share")).mapInArrow(count, "term string, n_docs double")
+    return counts.groupBy("term").agg(F.round(F.sum("n_docs")).cast("bigint").alias("n_docs"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", level: float = DISCLOSURE, contexts: int = MIN_CONTEXTS) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", level: float = DISCLOSURE) -> DataFrame:
     """(value, term, strength): terms that disclose a protected value."""
-    near = _near(found)
-    # Count per document first; a surrounding counts once.
-    pairs = near.groupBy("value", "term").agg(
-        F.approx_count_distinct("around", 0.02).alias("n_around"), F.count_distinct("_key", "fp").alias("n_both"))
-    pairs = cut(pairs.where(F.col("n_around") >= contexts))
-    values = near.join(pairs.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.count_distinct("_key", "fp").alias("n_value"))
-    terms = term_counts(docs, pairs.select("term").distinct(), text)
-    n = docs.select(F.count(F.lit(1)).alias("n_all"))
-    total = n.first().n_all
-    rated = pairs.join(values, "value").join(terms, "term")
-    ic = F.log2(F.lit(float(max(total, 1))) / F.col("n_value"))
-    pmi = F.log2(F.col("n_both") * float(max(total, 1)) / (F.greatest("n_docs", "n_both") * F.col("n_value")))
-    return rated.withColumn("strength", F.when(ic > 0, pmi / ic)).where(F.col("strength") >= level).select("value", "term", "strength")
-
-
-def private_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", level: float = DISCLOSURE, contexts: int = MIN_CONTEXTS) -> DataFrame:
+    copies = cut(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    repeated = cut(copies.where("n > 1"))
+    total = float(max(copies.count(), 1))
+    near = cut(_near(found).select("fp", "value", "term").distinct())
+    pairs = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    values = near.select("fp", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
+    terms = term_counts(docs, near.select("term").distinct(), repeated, text)
+    rated = pairs.join(values, "value").join(terms, "term").withColumn("strength", _strength(total))
+    return rated.where(F.col("strength") >= level).select("value", "term", "strength")
+
+
+def _strength(total: float):
+    """PMI / IC from `n_both`, `n_value` and `n_docs`; null for a value that every text holds."""
+    p = F.col("n_value") / F.lit(total)
+    given = (F.col("n_both") + F.lit(SMOOTH) * p) / (F.greatest("n_docs", "n_both") + F.lit(SMOOTH))
+    return F.when(p < 1, F.log2(given / p) / -F.log2(p))
+
+
+def private_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", level: float = DISCLOSURE) -> DataFrame:
     """Base counts, base spans and all spans of every row of `docs`, with `fp`, the hash that names its text."""
     found = cut(find(docs, key, text))
-    bad = disclosing(docs, found, text, level, contexts)
+    bad = disclosing(docs, found, text, level)
     more = _near(found).join(bad, ["value", "term"]).groupBy("_key", "fp").agg(
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("start", "stop"))),
                                  lambda z: F.concat(F.lit("term:"), z["start"].cast("string"), F.lit(":"), z["stop"].cast("string"))), ",").alias("more"))
     more = more.withColumnRenamed("_key", "_k").withColumnRenamed("fp", "_f")
-    rows = found.drop("value", "term", "start", "stop", "around").join(more, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("fp") == F.col("_f")), "left")
+    rows = found.drop("value", "term", "start", "stop").join(more, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("fp") == F.col("_f")), "left")
     base = F.when(F.col("base") != "", F.col("base"))
     return rows.select(F.col("_key").alias("doc_id"), "fp", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base"), 256).alias("base_sha256"),
                        F.concat_ws(",", base, "more").alias("spans"))
@@ -239,9 +252,9 @@ def redact(s: str, spans: str) -> str:
     return "".join([*out, s[at:]])
 
 
-def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", level: float = DISCLOSURE, contexts: int = MIN_CONTEXTS) -> DataFrame:
+def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", level: float = DISCLOSURE) -> DataFrame:
     """`docs` with private spans replaced in `text`; all other columns as they were."""
-    spans = private_spans(docs, key, text, level, contexts).where("spans <> ''").select(
+    spans = private_spans(docs, key, text, level).where("spans <> ''").select(
         F.col("doc_id").alias("_k"), F.col("fp").alias("_f"), F.col("spans").alias("_spans")).distinct()
     rows = docs.join(spans, F.col(key).cast("bigint").eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_f")), "left").drop("_k", "_f")
     fields = T.StructType([docs.schema[c] for c in docs.columns])

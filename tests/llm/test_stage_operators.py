@@ -220,6 +220,26 @@ def test_pii_terms_that_disclose_a_value(spark):
     assert pii.redact(text[1], "email:34:53,term:16:23") == "note 1 filler1  <EMAIL>" + text[1][53:] or "<NAME>" in pii.redact(text[1], "term:15:22")
 
 
+def marked_terms(spark, rows):
+    """Terms marked in each document."""
+    text = dict(rows)
+    got = pii.private_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    cut = lambda r: [text[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",")) if k == "term"]
+    return {r.doc_id: cut(r) if r.spans else [] for r in got}
+
+
+def test_pii_values_met_once_or_twice_are_rated(spark):
+    plain = [(100 + i, f"plain text number {i} where and so on about things from wrote note stand alone {i * 7}") for i in range(2000)]
+    met = "note from Zebulon wrote from z.q@mail.example.org about things and so on"
+    got = marked_terms(spark, [(1, met), *plain])
+    assert got[1] == ["Zebulon"] and not any(got[i] for i, _ in plain)
+    # copies are one meeting, two texts are two: the smaller corpus needs the second one
+    few = plain[:200]
+    assert not any(marked_terms(spark, [(1, met), (2, met), *few]).values())
+    got = marked_terms(spark, [(1, met), (2, met), (3, "where and " + met), *few])
+    assert got[1] == got[2] == got[3] == ["Zebulon"] and not any(got[i] for i, _ in few)
+
+
 def test_mixing_meets_its_targets(spark, sf, documents):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     domains, w = mixing.fit(documents, labels)
