@@ -1,16 +1,19 @@
-"""PII: fixed patterns, then information-theoretic sanitisation of the terms beside them.
+"""PII: fixed patterns, then information-theoretic sanitisation of the terms that disclose what they found.
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers; the values found are the protected
-entities. A term is a word within NEAR words of an entity, lower-cased, without punctuation at its ends. Over all
-distinct texts, with n(x) the texts that hold x, N all of them and P(value) = n(value) / N,
+entities. A term is any word of a text that holds an entity, outside the entities, lower-cased, without punctuation at its ends.
+Over all distinct texts, with n(x) the texts that hold x, N all of them and P(value) = n(value) / N,
 
     P(value | term) = (n(term, value) + SMOOTH P(value)) / (n(term) + SMOOTH),
     PMI(term, value) = log2 P(value | term) / P(value),   IC(value) = -log2 P(value),
 
 and a term discloses a value if PMI / IC reaches DISCLOSURE (1: every text with the term holds the value). Values met once are
-rated like all others: the smoothing asks for more meetings where a value tells little, and copies of one text count once. Terms
-are counted wherever they stand, and marked where they stand near the value they disclose. A marked term with a digit is
-generalised to `<NUMBER>`, one that begins with a capital to `<NAME>`, and any other is removed.
+rated like all others: the smoothing asks for more meetings where a value tells little, and copies of one text count once. Terms are
+counted and marked wherever they stand, in all texts. A marked term with a digit is generalised to `<NUMBER>`, one that begins
+with a capital to `<NAME>`, and any other is removed.
+
+Values that the same texts hold disclose alike, so one of them is rated for all. A term in too many texts to reach DISCLOSURE
+with a value (the IC bound) never makes a pair with it.
 
 Null texts count as empty: no spans. Repeated rows get equal spans (rows are told apart by key and text). Null keys stay.
 """
@@ -28,12 +31,13 @@ from paddock.llm.batches import bit_table, bounded_broadcast, in_table, map_text
 from paddock.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 5
 DISCLOSURE = 0.9
 #: Texts that hold a term without its value, as far as prior belief goes: one meeting in a small corpus is no evidence.
 SMOOTH = 1.0
 #: A table of repeated texts up to this many rows is broadcast.
 REPEATED_ROWS = 1_000_000
+#: A table of disclosing terms up to this many rows is broadcast.
+TERM_ROWS = 200_000
 #: log2 of the bits in the table that picks terms to count.
 FILTER_BITS = 23
 #: Distinct terms a task holds before it hands its counts on.
@@ -99,42 +103,32 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _contexts(s: str, spans) -> list[tuple[str, str, int, int]]:
-    """(value, term, start, end) for the words near each entity."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(s)]
-    starts = [a for a, _ in words]
-    covered = sorted((a, b) for _, a, b in spans)
-    cov_a = np.array([a for a, _ in covered])
-    cov_b = np.maximum.accumulate(np.array([b for _, b in covered]))
-    out = []
-    for kind, a, b in spans:
-        value = kind + ":" + s[a:b].lower()
-        i = int(np.searchsorted(starts, a, "right")) - 1
-        j = int(np.searchsorted(starts, b, "left"))
-        near = [*words[max(0, i - NEAR) : max(0, i)], *words[j : j + NEAR]]
-        seen = set()
-        for x, y in near:
-            k = int(np.searchsorted(cov_a, y, "left")) - 1
-            if k >= 0 and cov_b[k] > x:
-                continue
-            raw = s[x:y]
-            left = len(raw) - len(raw.lstrip(_EDGE))
-            term = raw.strip(_EDGE)
-            if len(term) < 2 or (x, y) in seen:
-                continue
-            seen.add((x, y))
-            out.append((value, term.lower(), x + left, x + left + len(term)))
-    return out
+def _covered(a: int, b: int, starts: np.ndarray, stops: np.ndarray) -> bool:
+    k = int(np.searchsorted(starts, b, "left")) - 1
+    return k >= 0 and stops[k] > a
+
+
+def _terms(s: str, spans):
+    """(term, start, end) of the words outside the entities."""
+    spans = sorted((a, b) for _, a, b in spans)
+    starts = np.array([a for a, _ in spans], np.int64)
+    stops = np.maximum.accumulate(np.array([b for _, b in spans], np.int64)) if spans else starts
+    for m in _WORD.finditer(s):
+        raw = m.group()
+        term = raw.strip(_EDGE)
+        if len(term) >= 2 and not _covered(*m.span(), starts, stops):
+            a = m.start() + len(raw) - len(raw.lstrip(_EDGE))
+            yield term.lower(), a, a + len(term)
 
 
 _FOUND = (
     "_key bigint, fp bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, "
-    "value array<string>, term array<string>, start array<int>, stop array<int>"
+    "value array<string>, term array<string>"
 )
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Base spans and neighbouring terms of every document; texts do not leave their task."""
+    """Base spans of every document, and the distinct values and terms of those with any; texts do not leave their task."""
 
     def run(part, texts):
         out = {c.split()[0]: [] for c in _FOUND.split(", ")}
@@ -146,22 +140,21 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for k in KINDS:
                 out["n_" + k].append(n[k])
             out["base"].append(joined(spans))
-            rows = _contexts(s, spans) if spans else []
-            for name, i in (("value", 0), ("term", 1), ("start", 2), ("stop", 3)):
-                out[name].append([r[i] for r in rows])
+            out["value"].append(list({kind + ":" + s[a:b].lower() for kind, a, b in spans}))
+            out["term"].append(list({w for w, _, _ in _terms(s, spans)}) if spans else [])
         yield out
 
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
     return map_texts(rows, run, _FOUND, ["_key", "fp"])
 
 
-def _near(found: DataFrame) -> DataFrame:
-    z = F.explode(F.arrays_zip("value", "term", "start", "stop")).alias("z")
-    return found.where(F.size("term") > 0).select("_key", "fp", z).select("_key", "fp", "z.*")
+def _table(terms: DataFrame) -> np.ndarray:
+    slot = F.crc32(F.col("term").cast("binary")) % (1 << FILTER_BITS)
+    return bit_table(terms.select(slot.alias("slot")), FILTER_BITS)
 
 
 def _wanted(s: str, table: np.ndarray) -> list[str]:
-    """Distinct terms of a text whose bit is set in the table, cut as `_contexts` cuts them."""
+    """Distinct terms of a text whose bit is set in the table, cut as `_terms` cuts them."""
     words = list({w.strip(_EDGE_BYTES) for w in s.lower().encode().split()})
     h = word_hashes(words) & np.uint32((1 << FILTER_BITS) - 1)
     return [words[i].decode() for i in in_table(table, h)]
@@ -173,8 +166,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame, text: st
     A text with n copies (`repeated`: fp, n) counts 1 / n at each of them, so texts need not be shuffled to be counted once.
     A bit table of fixed size tells tasks which terms may be wanted; the join afterwards is exact.
     """
-    slot = F.crc32(F.col("term").cast("binary")) % (1 << FILTER_BITS)
-    table = bit_table(terms.select(slot.alias("slot")), FILTER_BITS)
+    table = _table(terms)
 
     def count(batches):
         total = Counter()
@@ -198,16 +190,25 @@ def term_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame, text: st
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", level: float = DISCLOSURE) -> DataFrame:
-    """(value, term, strength): terms that disclose a protected value."""
+    """(value, term, strength): terms that disclose a protected value; of values that the same texts hold, the smallest is named."""
     copies = cut(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
     repeated = cut(copies.where("n > 1"))
     total = float(max(copies.count(), 1))
-    near = cut(_near(found).select("fp", "value", "term").distinct())
-    pairs = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    values = near.select("fp", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
-    terms = term_counts(docs, near.select("term").distinct(), repeated, text)
-    rated = pairs.join(values, "value").join(terms, "term").withColumn("strength", _strength(total))
-    return rated.where(F.col("strength") >= level).select("value", "term", "strength")
+    # Copies of a text have the same values and terms: one of them stands for all.
+    texts = cut(found.where(F.size("value") > 0).groupBy("fp").agg(F.first("value").alias("value"), F.first("term").alias("term")))
+    held = cut(texts.select("fp", F.explode("value").alias("value")))
+    where = [F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"where_{k}") for k in range(2)]
+    values = held.groupBy("value").agg(F.count(F.lit(1)).alias("n_value"), *where)
+    values = cut(values.groupBy("n_value", "where_0", "where_1").agg(F.min("value").alias("value")).select("value", "n_value"))
+    words = texts.select("fp", F.explode("term").alias("term"))
+    counts = term_counts(docs, words.select("term").distinct(), repeated, text)
+    # The IC bound, with n_both as large as it can be.
+    p = F.col("n_value") / F.lit(total)
+    within = (F.col("n_docs") + F.lit(SMOOTH)) * F.pow(p, F.lit(1 - level)) <= (F.col("n_value") + F.lit(SMOOTH) * p) * (1 + 1e-9)
+    most = held.join(values, "value").select("fp", "value", "n_value")
+    rare = words.join(counts, "term").join(most, "fp").where(within)
+    pairs = rare.groupBy("value", "term", "n_value", "n_docs").agg(F.count(F.lit(1)).alias("n_both"))
+    return pairs.withColumn("strength", _strength(total)).where(F.col("strength") >= level).select("value", "term", "strength")
 
 
 def _strength(total: float):
@@ -217,15 +218,36 @@ def _strength(total: float):
     return F.when(p < 1, F.log2(given / p) / -F.log2(p))
 
 
+def occurrences(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, fp, start, stop): every place in every text where a term of `terms` stands outside the entities."""
+    table = _table(terms)
+
+    def run(part, texts):
+        out = {"_key": [], "fp": [], "term": [], "start": [], "stop": []}
+        for k, fp, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
+            s = t.decode("utf-8", "replace")
+            wanted = set(_wanted(s, table))
+            for w, a, b in _terms(s, base_spans(s)) if wanted else ():
+                if w in wanted:
+                    for name, x in zip(out, (k, fp, w, a, b), strict=True):
+                        out[name].append(x)
+        yield out
+
+    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
+    places = map_texts(rows, run, "_key bigint, fp bigint, term string, start int, stop int", ["_key", "fp"])
+    return places.join(bounded_broadcast(terms, TERM_ROWS), "term").drop("term")
+
+
 def private_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", level: float = DISCLOSURE) -> DataFrame:
     """Base counts, base spans and all spans of every row of `docs`, with `fp`, the hash that names its text."""
     found = cut(find(docs, key, text))
     bad = disclosing(docs, found, text, level)
-    more = _near(found).join(bad, ["value", "term"]).groupBy("_key", "fp").agg(
+    terms = cut(bad.select("term").distinct())
+    more = occurrences(docs, terms, key, text).groupBy("_key", "fp").agg(
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("start", "stop"))),
                                  lambda z: F.concat(F.lit("term:"), z["start"].cast("string"), F.lit(":"), z["stop"].cast("string"))), ",").alias("more"))
     more = more.withColumnRenamed("_key", "_k").withColumnRenamed("fp", "_f")
-    rows = found.drop("value", "term", "start", "stop").join(more, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("fp") == F.col("_f")), "left")
+    rows = found.drop("value", "term").join(more, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("fp") == F.col("_f")), "left")
     base = F.when(F.col("base") != "", F.col("base"))
     return rows.select(F.col("_key").alias("doc_id"), "fp", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base"), 256).alias("base_sha256"),
                        F.concat_ws(",", base, "more").alias("spans"))

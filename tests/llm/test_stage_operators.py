@@ -240,6 +240,18 @@ def test_pii_values_met_once_or_twice_are_rated(spark):
     assert got[1] == got[2] == got[3] == ["Zebulon"] and not any(got[i] for i, _ in few)
 
 
+def test_pii_terms_are_paired_and_marked_in_whole_texts(spark):
+    far = " and so on about things" * 3
+    rows = [(i, f"Zebulon wrote note {i}{far} from z.q@mail.example.org about things{far} ZEBULON") for i in range(6)]
+    rows += [(50, f"about Zebulon, and so on {'things ' * 9}")]  # a text without the value
+    rows += [(100 + i, f"plain text number {i} where and so on about things from wrote note stand alone {i * 7}") for i in range(200)]
+    got = marked_terms(spark, rows)
+    assert all(got[i] == ["Zebulon", "ZEBULON"] for i in range(6)) and got[50] == ["Zebulon"]
+    assert not any(got[100 + i] for i in range(200))
+    text = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert text[50] == rows[6][1].replace("Zebulon", "<NAME>") and not any("zebulon" in t.lower() for t in text.values())
+
+
 def test_mixing_meets_its_targets(spark, sf, documents):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     domains, w = mixing.fit(documents, labels)
