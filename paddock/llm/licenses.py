@@ -1,9 +1,9 @@
 """License scans: a positional rare-token index. DataFrame expressions only.
 
 Templates are short passages of well-known licences. Their rarer words are the index: word -> (template, position in it).
-Of each file the licence words with the highest IDF (over the files that may match) are looked up; two of them that agree on
-the relative position of a template (one, where the file holds only one of its index words) make a candidate; a candidate counts if the
-template's mandatory key phrase stands at its place. Its score is the share of the template's words found in place.
+Of each file all index words it holds are looked up, those with the highest IDF (over the files that may match) first; a place
+where one of them has its position in a template is a candidate; a candidate counts if the template's mandatory key phrase
+stands at its place. A key phrase holds a word of the index, so none is missed. Its score is the share of the template's words found in place.
 
 Three fixed phrases give base labels wherever their words stand in a row. Files are A-Z lower-cased; words are runs without ASCII
 controls, punctuation or white space. The scan is one pass without a shuffle, after one pass that counts files per
@@ -43,7 +43,6 @@ TEMPLATES = (
 #: Fixed: template words that are common in prose, and so not part of the index.
 COMMON = frozenset("a and any are as by can conditions copy file following for form forms free general in into is it its may not of or person public "
                    "purpose released source terms that the this to under use used v version with without work you 0 2 3 4".split())
-TOP_WORDS = 8
 #: Fixed: every key phrase, of templates and of the base labels, holds one of these.
 GATES = ("licen", "redistribution", "attribution", "permission", "unencumbered")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,7 +100,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", text: str =
     words = F.when(_candidate(F.col("text")), _words(F.col("text")))
     rows = rows.select("doc_id", F.coalesce(F.regexp_count(F.col("text"), F.lit(_ANY_WORD)), F.lit(0)).cast("bigint").alias("n_words"),
                        F.coalesce(words, F.expr("cast(array() as array<string>)")).alias("words"))
-    rows = rows.withColumn("rare", F.slice(F.array_intersect(_strings(ranked), "words"), 1, TOP_WORDS))
+    rows = rows.withColumn("rare", F.array_intersect(_strings(ranked), "words"))
     if ranked:
         index = F.create_map(*[c for w in ranked for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("at")) for t, i in postings[w]]))])
         # (word, position) of the looked-up words, then (template, place of its first word) for each posting.
@@ -109,13 +108,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", text: str =
         rows = rows.withColumn("hits", F.when(F.size("rare") > 0, hits))
         aligned = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("at")))))
         rows = rows.withColumn("aligned", F.coalesce(aligned, none))
-        # Index words of each template that this file looked up: where there are two or more, two must agree.
-        owners = F.flatten(F.transform("rare", lambda w: F.array_distinct(F.transform(F.element_at(index, w), lambda p: p["t"]))))
-        rows = rows.withColumn("owners", owners).withColumn("places", F.array_distinct("aligned"))
-        times = lambda p: F.size(F.filter("aligned", lambda q: q == p))
-        held = lambda p: F.size(F.filter("owners", lambda t: t == p["t"]))
-        firm = F.filter("places", lambda p: F.slice("words", F.greatest(p["at"] + F.get(offset, p["t"]), F.lit(0)) + 1, F.size(F.get(keys, p["t"]))) == F.get(keys, p["t"]))
-        rows = rows.withColumn("places", F.filter(firm, lambda p: (p["at"] + F.get(offset, p["t"]) >= 0) & (times(p) >= F.least(held(p), F.lit(2)))))
+        firm = F.filter("aligned", lambda p: F.slice("words", F.greatest(p["at"] + F.get(offset, p["t"]), F.lit(0)) + 1, F.size(F.get(keys, p["t"]))) == F.get(keys, p["t"]))
+        rows = rows.withColumn("places", F.array_distinct(F.filter(firm, lambda p: p["at"] + F.get(offset, p["t"]) >= 0)))
     else:
         rows = rows.withColumn("places", none)
     share = lambda p: F.aggregate(F.transform(F.get(body, p["t"]), lambda w, i: F.when(F.get("words", p["at"] + i) == w, 1.0).otherwise(0.0)),

@@ -147,6 +147,17 @@ def test_license_templates(spark):
     assert (got[n + 5].n_base, got[n + 5].first_word, got[n + 5].last_word, got[n + 5].base_labels) == (2, 1, 4, "apache,mit")
 
 
+def test_license_notices_of_many_licences(spark):
+    bsd, mit = (next(t for x, t, _ in licenses.TEMPLATES if x == label and len(t.split()) > 9) for label in ("bsd", "mit"))
+    rare = f"{bsd} . {licenses.TEMPLATES[-1][1]}"  # eight index words
+    rows = [(0, " . ".join(t for _, t, _ in licenses.TEMPLATES)), (1, f"{rare} . {mit}"), (2, f"{rare} . licensed under CC BY NC 4.0"),
+            (3, "permission is hereby granted free of charge to all of you, but an obtaining elsewhere")]
+    rows += [(10 + i, mit + " licensed under cc by nc 4 0") for i in range(20)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[0]) == {x for x, _, _ in licenses.TEMPLATES}
+    assert "mit" in got[1] and "cc-by-nc" in got[2] and got[3] == ["mit"]
+
+
 def test_license_scan_is_native(spark, sf, capsys):
     licenses.scan(spark.read.parquet(f"{sf}/documents.parquet")).explain()
     plan = capsys.readouterr().out
