@@ -108,14 +108,16 @@ def _covered(a: int, b: int, starts: np.ndarray, stops: np.ndarray) -> bool:
     return k >= 0 and stops[k] > a
 
 
-def _terms(s: str, spans):
-    """(term, start, end) of the words outside the entities."""
+def _terms(s: str, spans, wanted: set[str] | None = None):
+    """(term, start, end) of the words outside the entities; with `wanted`, only of those terms."""
     spans = sorted((a, b) for _, a, b in spans)
     starts = np.array([a for a, _ in spans], np.int64)
     stops = np.maximum.accumulate(np.array([b for _, b in spans], np.int64)) if spans else starts
     for m in _WORD.finditer(s):
         raw = m.group()
         term = raw.strip(_EDGE)
+        if wanted is not None and term.lower() not in wanted:
+            continue
         if len(term) >= 2 and not _covered(*m.span(), starts, stops):
             a = m.start() + len(raw) - len(raw.lstrip(_EDGE))
             yield term.lower(), a, a + len(term)
@@ -227,10 +229,9 @@ def occurrences(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: st
         for k, fp, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
             s = t.decode("utf-8", "replace")
             wanted = set(_wanted(s, table))
-            for w, a, b in _terms(s, base_spans(s)) if wanted else ():
-                if w in wanted:
-                    for name, x in zip(out, (k, fp, w, a, b), strict=True):
-                        out[name].append(x)
+            for w, a, b in _terms(s, base_spans(s), wanted) if wanted else ():
+                for name, x in zip(out, (k, fp, w, a, b), strict=True):
+                    out[name].append(x)
         yield out
 
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
