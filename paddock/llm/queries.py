@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import decontamination, licenses, lm_mixing, mixing, ngram_join, pii, quality_fm, quality_rules, token_counts, url_filter
+from paddock.llm import (
+    conversation_trie, decontamination, fingerprints, licenses, lm_mixing, mixing, ngram_join, pii, quality_fm, quality_rules, token_counts, url_filter, vector_codes,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +70,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("score") >= decontamination.THRESHOLD).withColumnRenamed("_key", "doc_id")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_lm_mixing, op2_quality_rules, op3_licenses, op4_token_counts, op5_ngram_join, op6_pii, op7_url_filter, op8_mixing, op9_quality_fm, op10_decontamination)}
+    op1_lm_mixing, op2_quality_rules, op3_licenses, op4_token_counts, op5_ngram_join, op6_pii, op7_url_filter, op8_mixing, op9_quality_fm, op10_decontamination,
+    op11_conversation_trie, op12_fingerprints, op13_vector_codes)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -115,5 +130,51 @@ k AS (SELECT a AS doc_id, count(*) AS links, count(*) FILTER (WHERE same) AS cop
 SELECT doc_id, class_id, least(doc_id, coalesce(first, doc_id)) AS copy_id, 1 + coalesce(copies, 0) AS n_copies, coalesce(links, 0) AS n_links
 FROM c LEFT JOIN k USING (doc_id)"""
 
-#: Alignment, learned models, byte-pair tokens and search for terms have no SQL text; tests/llm hold those queries against brute force.
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op5_ngram_join": OP5_SQL}
+#: crc32 of a number's decimal digits: bytes (marked by 256) are mixed in, zeros are steps by one bit.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [256 + ascii(x), 0, 0, 0, 0, 0, 0, 0, 0]))), "
+    "lambda a, e: CASE WHEN e >= 256 THEN xor(a, e - 256) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"
+)
+
+OP11_SQL = f"""
+WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 5 AS base, CAST({_CRC} % 9 AS BIGINT) AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, h.h), list_slice(h.ts, h.h + 1, len(h.ts))) AS s FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, list_slice(s, 1, d) AS s, d = len(s) AS ended FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM r)),
+n AS (SELECT s, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN ended THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY s),
+k AS (SELECT list_slice(s, 1, d - 1) AS s, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children, (n_convs - 1) * coalesce(strlen(n.s[-1].t), 0) AS saved FROM n LEFT JOIN k USING (s)),
+t AS (SELECT p.s, count(*) FILTER (WHERE m.n_children = 0) AS n_leaves, CAST(sum(m.saved) AS BIGINT) AS saved_tokens
+  FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY p.s)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, t.n_leaves, t.saved_tokens, m.ends_sha256
+FROM m JOIN t USING (s) LEFT JOIN n u ON m.d > 0 AND u.s = list_slice(m.s, 1, m.d - 1)"""
+
+
+def _op13_round(i: int) -> str:
+    """CTEs: the parts' nearest entries in codebook b<i>, and the codebook after that."""
+    floored = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+    return f"""
+a{i} AS (SELECT k, p, min({{'d': d, 'e': e}}) AS best FROM (
+  SELECT v.k, v.p, b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN b{i} b USING (p)) GROUP BY k, p),
+m{i} AS (SELECT p, e, list(x ORDER BY j) AS x FROM (SELECT p, e, j, {floored} AS x FROM (
+  SELECT v.p, a.best.e AS e, unnest(range(len(v.x))) AS j, unnest(v.x) AS x FROM v JOIN a{i} a USING (k, p)) GROUP BY p, e, j) GROUP BY p, e),
+b{i + 1} AS (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (p, e))"""
+
+
+_R = vector_codes.ROUNDS
+OP13_SQL = f"""
+WITH f AS (SELECT row_number() OVER (ORDER BY vec_id, v) AS k, * FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+v AS (SELECT k, p, list_slice(v, p * len(v) // {vector_codes.PARTS} + 1, (p + 1) * len(v) // {vector_codes.PARTS}) AS x FROM f, range({vector_codes.PARTS}) t(p)),
+b0 AS (SELECT p, k - 1 AS e, x FROM v WHERE k <= {vector_codes.ENTRIES}),
+{",".join(_op13_round(i) for i in range(_R))},
+z AS (SELECT k, p, min({{'d': d, 'e': e}}) AS best FROM (
+  SELECT v.k, v.p, b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN b{_R} b USING (p)) GROUP BY k, p),
+c AS (SELECT k, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM z GROUP BY k),
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{_R})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM f JOIN c USING (k), s"""
+
+#: Alignment, learned models, byte-pair tokens, fingerprints and search for terms have no SQL text; tests/llm hold those queries against brute force.
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op5_ngram_join": OP5_SQL, "op11_conversation_trie": OP11_SQL, "op13_vector_codes": OP13_SQL}
