@@ -254,6 +254,7 @@ def subtree_totals(nodes: DataFrame, paths: DataFrame, values: dict[str, Column]
     names = list(values)
     root = F.lit(0).cast("bigint")
     live = nodes.select(*K, *PARENT, root.alias("c0"), root.alias("c1"), "conv_id", "depth", "size", *[v.cast("bigint").alias(n) for n, v in values.items()])
+    live = cut(live)
     given, pools = [], []
     while True:
         comps = cut(live.groupBy(*COMP).agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("top")).where(F.col("n") > local))

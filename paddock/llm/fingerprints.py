@@ -9,10 +9,11 @@ Jaccard similarity of the texts. A text without words has an empty fingerprint:
   document. Documents are range-partitioned in descending order of id; a task streams its range and keeps one text, and only the first and
   the last text of every range meet again, in a join of as many rows as there are ranges. Texts travel compressed.
 * `near_classes` joins documents. Copies (equal word sequences) become one node. Every run of ROWS values is a band, and rows of equal
-  bands form a bucket. In round r the 8**r smallest untested nodes of each bucket are its hubs: every other node in it is compared with the
-  hubs that are not yet in its class, by exact Jaccard similarity of their shingle sets; links merge classes; buckets whose nodes are in
-  one class are done. So a bucket of n near copies costs n comparisons, and no pair that shares a bucket stays untested but those
-  already in one class. The nodes compared with a hub are cut into slices of about SLICE, so a hot hub is many tasks.
+  bands form a bucket. First each bucket's hub, the node that shares its buckets with most others, is compared with all other nodes in it, by
+  exact Jaccard similarity of their shingle sets: one comparison per row, however large the bucket, in slices of about SLICE. That settles nearly
+  all buckets: their nodes are in one class. In those that stay live, nodes outside their group's largest class are compared with all nodes of
+  the group, block by block inside tasks; a block holds at most BLOCK_NODES nodes and about BLOCK_WORDS words. Only a spanning set
+  of links leaves a task, never pairs. So no two nodes that share a bucket stay uncompared but those already in one class.
 
 Two texts at the threshold of 0.8 share no bucket with probability (1 - 0.8**5)**24, below 1 in 10,000.
 
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 
 from paddock.llm.batches import bounded_broadcast, emit, map_texts, ngram_hashes, slices, tokens_in
 from paddock.llm.components import components
+from paddock.llm.ngram_join import _linked as linked_pairs
 from paddock.session import cut
 
 SHINGLE = 5
@@ -40,8 +42,8 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 BANDS, ROWS = 24, 5
 PERMUTATIONS = BANDS * ROWS
-#: Growth of the number of hubs per bucket from round to round.
-GROWTH = 8
+#: A block of a group holds at most so many nodes, and about so many words.
+BLOCK_NODES, BLOCK_WORDS = 800, 1_000_000
 #: Nodes compared with a hub in one task, about.
 SLICE = 2000
 #: Tables of ids up to this many rows are broadcast.
@@ -209,45 +211,121 @@ def buckets_of(marks: DataFrame) -> DataFrame:
     return marks.select("rid", "signature").mapInArrow(run, fields)
 
 
-def verified(docs: DataFrame, marks: DataFrame, pairs: DataFrame, threshold: tuple[int, int], key: str, text: str) -> DataFrame:
-    """(a, b) of the pairs (hub, rid), hub < rid, whose shingle sets have a Jaccard similarity at or above the threshold; exact."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("parts"))
-    parts = bounded_broadcast(cut(parts), LIST_ROWS)
-    ends = pairs.join(parts, "hub").select("hub", "rid", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("slice"))
-    hubs = parts.select("hub", F.col("hub").alias("rid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"))
-    wanted = ends.unionByName(hubs).join(marks.select("rid", "doc_id", "fp"), "rid")
-    wanted = cut(wanted.select("hub", "rid", "slice", F.col("doc_id").alias("_k"), F.col("fp").alias("_f")))
+def _texts_of(docs: DataFrame, marks: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """`wanted` (one row per rid) with the documents' texts."""
+    wanted = cut(wanted.join(marks.select("rid", F.col("doc_id").alias("_k"), F.col("fp").alias("_f")), "rid"))
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
-    rows = rows.join(bounded_broadcast(wanted, LIST_ROWS), (F.col("fp") == F.col("_f")) & F.col("_key").eqNullSafe(F.col("_k")))
+    return rows.join(bounded_broadcast(wanted, LIST_ROWS), (F.col("fp") == F.col("_f")) & F.col("_key").eqNullSafe(F.col("_k"))).drop("_key", "fp", "_k", "_f")
+
+
+_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def sets(part, texts):
-        yield {"hub": part.column(0).to_pylist(), "rid": part.column(1).to_pylist(), "slice": part.column(2).to_pylist(),
-               "set": [np.unique(shingles(t)[0]).tobytes() for t in texts]}
 
-    rows = map_texts(rows, sets, "hub bigint, rid bigint, slice int, set binary", ["hub", "rid", "slice"])
+def hub_links(docs: DataFrame, marks: DataFrame, pairs: DataFrame, threshold: tuple[int, int], key: str, text: str) -> DataFrame:
+    """(a, b) of the pairs (hub, rid) whose shingle sets have a Jaccard similarity at or above the threshold; exact."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("parts"))
+    parts = bounded_broadcast(cut(parts), LIST_ROWS)
+    # a place is a hub's slice, and 0 for the hub itself: it comes first
+    place = lambda part, side: F.struct("hub", part.alias("part"), F.lit(side).alias("side"))
+    ends = pairs.join(parts, "hub").select("rid", place(F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"), 1).alias("p"))
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select(F.col("hub").alias("rid"), place(F.col("k"), 0).alias("p"))
+    wanted = ends.unionByName(hubs).groupBy("rid").agg(F.collect_list("p").alias("p"))
+    wanted = wanted.select("rid", *[F.col("p")[c].cast("array<bigint>").alias(c) for c in ("hub", "part", "side")])
+    rows = _sets(_texts_of(docs, marks, wanted, key, text), ["hub", "part", "side"])
     top, bottom = threshold
-    fields = T.StructType.fromDDL("a bigint, b bigint")
 
     def compare(batches):
         now, hub_set, done = None, None, None
         for batch in batches:
             found = {"a": [], "b": []}
-            for hub, rid, part, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for hub, part, side, rid, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 x = np.frombuffer(s, np.uint64)
                 if (hub, part) != now:
-                    now, hub_set, done = (hub, part), x, rid  # the hub has the smallest rid
-                    continue
-                if rid == done:
-                    continue  # a repeated row
+                    now, hub_set, done = (hub, part), x, rid
+                if side == 0 or rid == done:
+                    continue  # the hub, or a repeated row
                 done = rid
                 if min(len(x), len(hub_set)) * bottom >= max(len(x), len(hub_set)) * top:
                     both = len(np.intersect1d(x, hub_set, assume_unique=True))
                     if both * bottom >= (len(x) + len(hub_set) - both) * top:
                         found["a"].append(hub)
                         found["b"].append(rid)
-            yield emit(found, fields)
+            yield emit(found, _LINK)
+
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side", "rid").mapInArrow(compare, _LINK)
+
+
+def _sets(rows: DataFrame, places: list[str]) -> DataFrame:
+    """(*places, rid, set): shingle sets of texts, once for each of the places in the array columns."""
+
+    def run(part, texts):
+        cols = [part.column(i).to_pylist() for i in range(len(places) + 1)]
+        out = {c: [] for c in [*places, "rid", "set"]}
+        for *at, rid, t in zip(*cols, texts, strict=True):
+            s = np.unique(shingles(t)[0]).tobytes()
+            for c, x in zip(places, at, strict=True):
+                out[c] += x
+            out["rid"] += [rid] * len(at[0])
+            out["set"] += [s] * len(at[0])
+        yield out
+
+    return map_texts(rows, run, ", ".join(f"{c} bigint" for c in places) + ", rid bigint, set binary", [*places, "rid"])
+
+
+def block_links(docs: DataFrame, marks: DataFrame, live: DataFrame, threshold: tuple[int, int], key: str, text: str) -> DataFrame:
+    """(a, b): a spanning set of the links between nodes of different classes that `live` (bucket, rid, label) puts in one group."""
+    firsts = live.groupBy("bucket").agg(F.min("rid").alias("a"))
+    groups = components(live.join(bounded_broadcast(cut(firsts), LIST_ROWS), "bucket").select("a", F.col("rid").alias("b")))
+    nodes = live.select("rid", "label").distinct().join(groups.select(F.col("node").alias("rid"), F.col("label").alias("grp")), "rid")
+    nodes = cut(nodes.join(marks.select("rid", (F.col("n_chars") / 6).alias("words")), "rid"))
+    classes = nodes.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    total = classes.groupBy("grp").agg(F.max_by(F.struct("label", "n", "words"), "n").alias("most"), F.sum("n").alias("n"), F.sum("words").alias("words"))
+    blocks = lambda n, words: F.ceil(F.greatest(n / BLOCK_NODES, words / BLOCK_WORDS)).cast("int")
+    total = total.select("grp", F.col("most.label").alias("largest"), blocks(F.col("n"), F.col("words")).alias("ys"),
+                         F.greatest(blocks(F.col("n") - F.col("most.n"), F.col("words") - F.col("most.words")), F.lit(1)).alias("xs"))
+    nodes = nodes.join(bounded_broadcast(cut(total), LIST_ROWS), "grp")
+    at = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    unit = lambda x, y, side: F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), F.lit(side).cast("bigint").alias("side"))
+    as_y = F.transform(each(F.col("xs")), lambda x: unit(x, at(F.col("ys")), 1))
+    as_x = F.when(F.col("label") != F.col("largest"), F.transform(each(F.col("ys")), lambda y: unit(at(F.col("xs")), y, 0)))
+    units = F.concat(as_y, F.coalesce(as_x, F.slice(as_y, 1, 0)))
+    wanted = nodes.select("rid", F.array_repeat("grp", F.size(units)).alias("grp"), *[units[c].alias(c) for c in ("x", "y", "side")])
+    rows = _sets(_texts_of(docs, marks, wanted, key, text), ["grp", "x", "y", "side"])
+
+    def spanning(held):
+        """Links between sides of a unit, as (root, node)."""
+        left = {r: s for side, r, s in held if side == 0}
+        right = {r: s for side, r, s in held if side == 1}
+        names = [*left, *right]
+        number = {r: i for i, r in enumerate(dict.fromkeys(names))}
+        i, j = linked_pairs([*left.values(), *right.values()], threshold, len(left)) if left and right else ([], [])
+        a, b = (np.array([number[names[k]] for k in x], np.int64) for x in (i, j))
+        root = np.arange(len(number))
+        while True:
+            before = root.copy()
+            np.minimum.at(root, a, root[b])
+            np.minimum.at(root, b, root[a])
+            root = root[root]
+            if (root == before).all():
+                break
+        known = list(number)
+        return [(known[r], known[k]) for k, r in enumerate(root) if r != k]
+
+    def run(batches):
+        now, held, found = None, [], []
+        for batch in batches:
+            for *unit_of, side, rid, s in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if unit_of != now:
+                    found += spanning(held)
+                    now, held = unit_of, []
+                held.append((side, rid, np.frombuffer(s, np.uint64)))
+            yield emit({"a": [a for a, _ in found], "b": [b for _, b in found]}, _LINK)
+            found = []
+        found = spanning(held)
+        yield emit({"a": [a for a, _ in found], "b": [b for _, b in found]}, _LINK)
 
-    return rows.repartition("hub", "slice").sortWithinPartitions("hub", "slice", "rid").mapInArrow(compare, fields)
+    return rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "side").mapInArrow(run, _LINK)
 
 
 def near_classes(docs: DataFrame, marks: DataFrame, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,33 +333,20 @@ def near_classes(docs: DataFrame, marks: DataFrame, threshold: tuple[int, int] =
     nodes = cut(marks.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     once = marks.join(bounded_broadcast(nodes.select("rid"), LIST_ROWS), "rid", "left_semi")
     rows = buckets_of(once)
-    shared = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    shared = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut(rows.join(bounded_broadcast(shared, LIST_ROWS), "bucket"))
-    links, classes, hubs_each = None, None, 1
-    while True:
-        named = members
-        if classes is not None:
-            named = members.join(classes.select(F.col("node").alias("rid"), "label"), "rid", "left")
-        named = named.select("bucket", "rid", (F.coalesce("label", "rid") if classes is not None else F.col("rid")).alias("label"))
-        live = named.groupBy("bucket").agg(F.min("rid").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        live = cut(live.select("bucket", "hub"))
-        if not live.limit(1).count():
-            break
-        named = cut(named.join(bounded_broadcast(live.select("bucket"), LIST_ROWS), "bucket"))
-        if hubs_each == 1:
-            hubs = live
-        else:
-            ranked = named.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("rid")))
-            hubs = cut(ranked.where(F.col("k") <= hubs_each).select("bucket", F.col("rid").alias("hub")))
-        known = hubs.join(named.select("bucket", F.col("rid").alias("hub"), F.col("label").alias("of_hub")), ["bucket", "hub"])
-        pairs = named.join(bounded_broadcast(cut(known), LIST_ROWS), "bucket").where("rid > hub AND label <> of_hub").select("hub", "rid").distinct()
-        new = cut(verified(docs, marks, cut(pairs), threshold, key, text))
-        links = new if links is None else cut(links.unionByName(new))
-        classes = components(links)
-        members = cut(named.join(bounded_broadcast(hubs.select("bucket", F.col("hub").alias("rid")), LIST_ROWS), ["bucket", "rid"], "left_anti").select("bucket", "rid"))
-        hubs_each *= GROWTH
-    if classes is None:
-        return nodes.where("n > 1").select("node", F.col("least").alias("class_id"))
+    degrees = members.groupBy("rid").agg(F.sum("n").alias("degree"))
+    members = cut(members.join(bounded_broadcast(cut(degrees), LIST_ROWS), "rid").select("bucket", "rid", "degree"))
+    hubs = members.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), "rid")).alias("h")).select("bucket", F.col("h.rid").alias("hub"))
+    pairs = members.join(bounded_broadcast(cut(hubs), LIST_ROWS), "bucket").where("rid <> hub").select("hub", "rid").distinct()
+    links = cut(hub_links(docs, marks, cut(pairs), threshold, key, text))
+    classes = components(links)
+    named = members.join(classes.select(F.col("node").alias("rid"), "label"), "rid", "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
+    live = cut(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high AND n > 2").select("bucket"))
+    if live.limit(1).count():
+        named = cut(named.join(bounded_broadcast(live, LIST_ROWS), "bucket"))
+        more = cut(block_links(docs, marks, named, threshold, key, text))
+        classes = components(cut(links.unionByName(more)))
     named = nodes.join(classes.select(F.col("node").alias("rid"), "label"), "rid", "left").select("node", "least", "n", "label")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("class_id"))
     return named.join(least, "label", "left").where("n > 1 OR label IS NOT NULL").select("node", F.coalesce("class_id", "least").alias("class_id"))
