@@ -2,20 +2,25 @@
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers; the values found are the protected
 entities. A term is any word of a text that holds an entity, outside the entities, lower-cased, without punctuation at its ends.
-Over all distinct texts, with n(x) the texts that hold x, N all of them and P(value) = n(value) / N,
+Over all distinct texts, n(x) is the number that hold x, and
 
-    P(value | term) = (n(term, value) + SMOOTH P(value)) / (n(term) + SMOOTH),
-    PMI(term, value) = log2 P(value | term) / P(value),   IC(value) = -log2 P(value),
+    P(value | term) = (n(term, value) + prior) / (n(term) + 1)
 
-and a term discloses a value if PMI / IC reaches DISCLOSURE (1: every text with the term holds the value). Values met once are
-rated like all others: the smoothing asks for more meetings where a value tells little, and copies of one text count once. Terms are
-counted and marked wherever they stand, in all texts. A marked term with a digit is generalised to `<NUMBER>`, one that begins
-with a capital to `<NAME>`, and any other is removed.
+is a cautious estimate: one text more holds the term, and the value only as far as the prior says. -log2 P(value | term) is the information
+about the value, in bits, that somebody who reads the term still lacks (its self-information less the pointwise mutual information), so it
+does not depend on the size of the corpus. A term discloses a value if P(value | term) reaches DISCLOSURE and the term tells
+at least one bit (P(value | term) is twice P(value) or more).
 
-Values that the same texts hold disclose alike, so one of them is rated for all. A term in too many texts to reach DISCLOSURE
-with a value (the IC bound) never makes a pair with it.
+The prior of a term is pooled over its kind: NAME_PRIOR for a term that is a part of the local part of an e-mail address (`smith` of
+j.smith@example.org), which discloses it if they meet in the only text that holds either; 0 for all others, which need three
+texts. So words that are merely rare stay. Copies of a text are one text. Terms are counted and marked wherever they stand, in all
+texts. A marked term with a digit is generalised to `<NUMBER>`, one that begins with a capital to `<NAME>`, and any other is removed.
 
-Null texts count as empty: no spans. Repeated rows get equal spans (rows are told apart by key and text). Null keys stay.
+Values that the same texts hold disclose alike, so one of them is rated for all.
+
+Defined cases. Null texts count as empty: no spans. Repeated rows get equal spans (rows are told apart by key and text). Null keys stay. Empty
+tables give no rows. Columns other than key and text are not read by `private_spans` and kept as they are by `sanitised`. Texts are read whole, one slice of
+bounded size at a time; a longer text is a slice of its own. Terms of equal strength are all marked.
 """
 
 import re
@@ -23,23 +28,30 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.llm.batches import bit_table, bounded_broadcast, in_table, map_texts, slices, texts_of, word_hashes
+from paddock.llm.batches import bit_table, bounded_broadcast, in_table, map_texts, slices, texts_of
 from paddock.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE = 0.9
-#: Texts that hold a term without its value, as far as prior belief goes: one meeting in a small corpus is no evidence.
-SMOOTH = 1.0
+#: P(value | term) from which on a term discloses a value: at most 0.42 bits are lacking.
+DISCLOSURE = 0.75
+#: What a text more would say of a term that is part of an address, and letters of such a part at least.
+NAME_PRIOR = 0.75
+NAME_LETTERS = 4
+#: Times P(value) that P(value | term) is at least: one bit.
+INFORMS = 2.0
 #: A table of repeated texts up to this many rows is broadcast.
 REPEATED_ROWS = 1_000_000
 #: A table of disclosing terms up to this many rows is broadcast.
 TERM_ROWS = 200_000
-#: log2 of the bits in the table that picks terms to count.
-FILTER_BITS = 23
+#: Bits per term and hashes of the table that picks terms to count: 1 of 5,000 other words passes it.
+TERM_BITS, HASHES = 32, 4
+#: log2 of the largest table; for more terms all words go to the join.
+MAX_BITS = 27
 #: Distinct terms a task holds before it hands its counts on.
 _FLUSH = 200_000
 
@@ -150,23 +162,51 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return map_texts(rows, run, _FOUND, ["_key", "fp"])
 
 
-def _table(terms: DataFrame) -> np.ndarray:
-    slot = F.crc32(F.col("term").cast("binary")) % (1 << FILTER_BITS)
-    return bit_table(terms.select(slot.alias("slot")), FILTER_BITS)
+def _slots(words: list[bytes], bits: int) -> np.ndarray:
+    """HASHES places of each word in a table of 2**bits bits, one row per word."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    steps = (h >> np.uint64(32)) | np.uint64(1)
+    places = (h & np.uint64(0xFFFFFFFF))[:, None] + steps[:, None] * np.arange(HASHES, dtype=np.uint64)
+    return (places & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _table(terms: DataFrame) -> tuple[np.ndarray, int] | None:
+    """A bit table sized by the number of terms, so that the share of other words that pass it stays the same at every size.
 
+    None if it would be too large to send to every task: then every word passes, and the join decides.
+    """
+    bits = max(10, (terms.count() * TERM_BITS - 1).bit_length())
+    if bits > MAX_BITS:
+        return None
 
-def _wanted(s: str, table: np.ndarray) -> list[str]:
-    """Distinct terms of a text whose bit is set in the table, cut as `_terms` cuts them."""
+    def run(batches):
+        for batch in batches:
+            slots = _slots([t.encode() for t in batch.column(0).to_pylist()], bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
+
+    return bit_table(terms.select("term").mapInArrow(run, "slot bigint"), bits), bits
+
+
+def _wanted(s: str, table: tuple[np.ndarray, int] | None) -> list[str]:
+    """Distinct terms of a text that pass the table, cut as `_terms` cuts them."""
     words = list({w.strip(_EDGE_BYTES) for w in s.lower().encode().split()})
-    h = word_hashes(words) & np.uint32((1 << FILTER_BITS) - 1)
-    return [words[i].decode() for i in in_table(table, h)]
+    if table is None:
+        return [w.decode() for w in words if w]
+    bits, n = table
+    slots = _slots(words, n)
+    found = np.ones(len(words), bool)
+    for k in range(HASHES):
+        hit = np.zeros(len(words), bool)
+        hit[in_table(bits, slots[:, k])] = True
+        found &= hit
+    return [words[i].decode() for i in np.flatnonzero(found)]
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame, text: str = "text") -> DataFrame:
     """(term, n_docs): distinct texts that hold each term of `terms`, over all documents.
 
     A text with n copies (`repeated`: fp, n) counts 1 / n at each of them, so texts need not be shuffled to be counted once.
-    A bit table of fixed size tells tasks which terms may be wanted; the join afterwards is exact.
+    A bit table tells tasks which terms may be wanted; the join afterwards is exact.
     """
     table = _table(terms)
 
@@ -188,11 +228,18 @@ def term_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame, text: st
 
     rows = docs.select(F.xxhash64(text).alias("fp"), F.col(text).alias("text")).join(bounded_broadcast(repeated, REPEATED_ROWS), "fp", "left")
     counts = rows.select("text", F.coalesce(F.lit(1.0) / F.col("n"), F.lit(1.0)).alias("share")).mapInArrow(count, "term string, n_docs double")
-    return counts.groupBy("term").agg(F.round(F.sum("n_docs")).cast("bigint").alias("n_docs"))
+    counts = counts.groupBy("term").agg(F.round(F.sum("n_docs")).cast("bigint").alias("n_docs"))
+    return counts.join(terms, "term", "left_semi")
+
+
+def _name_parts(value: Column) -> Column:
+    """Parts of the local part of an e-mail value."""
+    local = F.regexp_extract(value, "^email:(.*)@", 1)
+    return F.filter(F.split(local, "[._%+0-9-]+"), lambda x: F.length(x) >= NAME_LETTERS)
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", level: float = DISCLOSURE) -> DataFrame:
-    """(value, term, strength): terms that disclose a protected value; of values that the same texts hold, the smallest is named."""
+    """(value, term, n_value, n_docs, n_both, strength): terms that disclose a protected value; of values that the same texts hold, the smallest is named."""
     copies = cut(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
     repeated = cut(copies.where("n > 1"))
     total = float(max(copies.count(), 1))
@@ -200,24 +247,22 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", level: flo
     texts = cut(found.where(F.size("value") > 0).groupBy("fp").agg(F.first("value").alias("value"), F.first("term").alias("term")))
     held = cut(texts.select("fp", F.explode("value").alias("value")))
     where = [F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"where_{k}") for k in range(2)]
-    values = held.groupBy("value").agg(F.count(F.lit(1)).alias("n_value"), *where)
-    values = cut(values.groupBy("n_value", "where_0", "where_1").agg(F.min("value").alias("value")).select("value", "n_value"))
-    words = texts.select("fp", F.explode("term").alias("term"))
-    counts = term_counts(docs, words.select("term").distinct(), repeated, text)
-    # The IC bound, with n_both as large as it can be.
-    p = F.col("n_value") / F.lit(total)
-    within = (F.col("n_docs") + F.lit(SMOOTH)) * F.pow(p, F.lit(1 - level)) <= (F.col("n_value") + F.lit(SMOOTH) * p) * (1 + 1e-9)
-    most = held.join(values, "value").select("fp", "value", "n_value")
-    rare = words.join(counts, "term").join(most, "fp").where(within)
-    pairs = rare.groupBy("value", "term", "n_value", "n_docs").agg(F.count(F.lit(1)).alias("n_both"))
-    return pairs.withColumn("strength", _strength(total)).where(F.col("strength") >= level).select("value", "term", "strength")
-
-
-def _strength(total: float):
-    """PMI / IC from `n_both`, `n_value` and `n_docs`; null for a value that every text holds."""
-    p = F.col("n_value") / F.lit(total)
-    given = (F.col("n_both") + F.lit(SMOOTH) * p) / (F.greatest("n_docs", "n_both") + F.lit(SMOOTH))
-    return F.when(p < 1, F.log2(given / p) / -F.log2(p))
+    values = cut(held.groupBy("value").agg(F.count(F.lit(1)).alias("n_value"), *where))
+    # Terms of no kind need a value that enough texts hold; a term meets it in at most n_value texts.
+    enough = lambda both, prior: both + prior >= level * (both + 1)
+    often = values.where(enough(F.col("n_value"), F.lit(0.0))).groupBy("n_value", "where_0", "where_1").agg(F.min("value").alias("value"))
+    often = held.join(bounded_broadcast(cut(often.select("value", "n_value")), REPEATED_ROWS), "value").select("fp", "value", "n_value")
+    pairs = texts.select("fp", F.explode("term").alias("term")).join(cut(often), "fp").groupBy("value", "term", "n_value").agg(F.count(F.lit(1)).alias("n_both"))
+    pairs = pairs.where(enough(F.col("n_both"), F.lit(0.0))).withColumn("prior", F.lit(0.0))
+    named = texts.select("term", F.explode(F.filter("value", lambda v: v.startswith("email:"))).alias("value"))
+    named = named.select("value", F.explode(F.array_intersect(_name_parts(F.col("value")), "term")).alias("term"))
+    named = named.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both")).join(values.select("value", "n_value"), "value")
+    pairs = cut(pairs.unionByName(named.withColumn("prior", F.lit(NAME_PRIOR)).select(pairs.columns)))
+    counts = term_counts(docs, cut(pairs.select("term").distinct()), repeated, text)
+    pairs = pairs.join(counts, "term").withColumn("strength", (F.col("n_both") + F.col("prior")) / (F.greatest("n_docs", "n_both") + 1))
+    tells = F.col("strength") * total >= INFORMS * F.col("n_value")
+    best = pairs.where((F.col("strength") >= level) & tells).groupBy("value", "term", "n_value", "n_docs", "n_both")
+    return best.agg(F.max("strength").alias("strength"))
 
 
 def occurrences(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -228,16 +228,74 @@ def marked_terms(spark, rows):
     return {r.doc_id: cut(r) if r.spans else [] for r in got}
 
 
-def test_pii_values_met_once_or_twice_are_rated(spark):
+def test_pii_meetings_that_are_enough_do_not_depend_on_the_corpus(spark):
     plain = [(100 + i, f"plain text number {i} where and so on about things from wrote note stand alone {i * 7}") for i in range(2000)]
     met = "note from Zebulon wrote from z.q@mail.example.org about things and so on"
-    got = marked_terms(spark, [(1, met), *plain])
-    assert got[1] == ["Zebulon"] and not any(got[i] for i, _ in plain)
-    # copies are one meeting, two texts are two: the smaller corpus needs the second one
-    few = plain[:200]
-    assert not any(marked_terms(spark, [(1, met), (2, met), *few]).values())
-    got = marked_terms(spark, [(1, met), (2, met), (3, "where and " + met), *few])
-    assert got[1] == got[2] == got[3] == ["Zebulon"] and not any(got[i] for i, _ in few)
+    for others in (plain, plain[:200]):
+        # words that are merely rare stay: copies are one meeting, two texts are two
+        assert not any(marked_terms(spark, [(1, met), (2, met), *others]).values())
+        assert not any(marked_terms(spark, [(1, met), (2, met), (3, "where and " + met), *others]).values())
+        got = marked_terms(spark, [(1, met), (2, met), (3, "where and " + met), (4, "alone " + met), *others])
+        assert got[1] == got[2] == got[3] == got[4] == ["Zebulon"] and not any(got[i] for i, _ in others)
+        mail = (1, f"{plain[0][1]} pomegranate mail x.y@corp.example.org")
+        assert not any(marked_terms(spark, [mail, *others]).values())
+
+
+def test_pii_parts_of_an_address_disclose_it(spark):
+    plain = [(100 + i, f"plain text number {i} where and so on about things from wrote note stand alone {i * 7}") for i in range(300)]
+    rows = [(1, "a note from Quimby, thing wrote: j.quimby_things@example.org and so on"), (2, "things of plain@example.org stand"), *plain]
+    got = marked_terms(spark, rows)
+    # `things` and `plain` are words of other texts too
+    assert got[1] == ["Quimby"] and not any(got[i] for i, _ in rows[1:])
+    # a second text with the name alone leaves doubt
+    assert marked_terms(spark, [*rows, (3, "Quimby stand alone")])[1] == []
+
+
+def plain_disclosing(texts, level=pii.DISCLOSURE):
+    """Strengths by counting over distinct texts."""
+    held, words = {}, {}
+    for t in set(texts):
+        spans = plain_spans(t)
+        held[t] = {k + ":" + t[a:b].lower() for k, a, b in spans}
+        cut = lambda w: w.strip(".,;:!?\"'()[]{}*|<>#$%&")
+        words[t] = {cut(m.group()).lower() for m in WORD.finditer(t) if not any(a < m.end() and b > m.start() for _, a, b in spans)}
+        words[t] = {w for w in words[t] if len(w) > 1}
+    every = {cut_word for t in set(texts) for cut_word in {m.group().lower().strip(".,;:!?\"'()[]{}*|<>#$%&") for m in WORD.finditer(t)}}
+    where = {v: frozenset(t for t in held if v in held[t]) for v in set().union(*held.values())}
+    first = {}
+    for v in sorted(where):
+        first.setdefault(where[v], v)
+    n_docs = Counter(w for t in set(texts) for w in {m.group().lower().strip(".,;:!?\"'()[]{}*|<>#$%&") for m in WORD.finditer(t)})
+    assert every
+    out = {}
+    for v, ts in where.items():
+        local = re.findall("^email:(.*)@", v)
+        parts = {x for x in re.split("[._%+0-9-]+", local[0]) if len(x) >= pii.NAME_LETTERS} if local else set()
+        for w, both in Counter(w for t in ts for w in words[t]).items():
+            prior = pii.NAME_PRIOR if w in parts else 0
+            if prior or first[ts] == v:
+                strength = (both + prior) / (max(n_docs[w], both) + 1)
+                if strength >= level and strength * len(held) >= pii.INFORMS * len(ts):
+                    out[v, w] = (len(ts), both, strength)
+    return out
+
+
+def test_pii_strengths_equal_plain_counts(spark, documents, texts):
+    extra = [f"{texts[i] or ''} Wendelin said mail w.x{j % 3}@host.example.org or frobnitz{j}@example.org frobnitz{j}" for j, i in enumerate(sorted(texts)[:60])]
+    rows = [(k, t) for k, t in texts.items()] + [(10_000_000 + j, t) for j, t in enumerate(extra)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.value, r.term): (r.n_value, r.n_both, r.strength) for r in pii.disclosing(df, pii.find(df)).collect()}
+    want = plain_disclosing([t or "" for _, t in rows])
+    assert got == want and len(got) > 0
+
+
+def test_pii_table_passes_all_wanted_terms_and_few_others(spark, monkeypatch):
+    terms = spark.range(5000).selectExpr("concat('term', id) AS term")
+    table = pii._table(terms)
+    assert len(pii._wanted(" ".join(f"Term{i}," for i in range(5000)), table)) == 5000
+    assert len(pii._wanted(" ".join(f"other{i}" for i in range(50_000)), table)) < 50
+    monkeypatch.setattr(pii, "MAX_BITS", 5)
+    assert pii._table(terms) is None and pii._wanted("some words", None) and set(pii._wanted("Some, words", None)) == {"some", "words"}
 
 
 def test_pii_terms_are_paired_and_marked_in_whole_texts(spark):
