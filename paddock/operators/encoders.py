@@ -69,9 +69,10 @@ def fit_bins(fit: DataFrame, columns: list[str], n_bins: int) -> dict[str, list[
     return {row["column"]: sorted({row[q] for q in probs}) for row in rows}
 
 
-def apply_bins(x: str, edges: list[float]) -> Column:
-    """Left-closed bin index; values outside the fitted range fall in the outer bins."""
-    return search(x, edges).cast("int")
+def apply_bins(x: str, edges: list[float], null_slot: int | None = None) -> Column:
+    """Left-closed bin index; values outside the fitted range fall in the outer bins, nulls in a bin of their own (or stay null)."""
+    at = search(x, edges).cast("int")
+    return F.when(F.col(x).isNull(), F.lit(null_slot)).otherwise(at)
 
 
 def group_stats(df: DataFrame, fit: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -154,3 +155,31 @@ def sequences(df: DataFrame, keys: list[str], pos: str, columns: list[str], max_
     pad = F.when(n < max_len, F.array_repeat(zero, max_len - n)).otherwise(F.slice("seq", 1, 0))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(max_len) - n, F.lit(0))))
     return g.select(*keys, "segment", n.alias("n"), F.concat("seq", pad).alias("seq"), mask.alias("mask"))
+
+
+def role_sequences(df: DataFrame, keys: list[str], pos: str, role: str, key: str, target: str, columns: list[str], max_len: int) -> DataFrame:
+    """Padded arrays per timeline and source, with the role of every position.
+
+    Roles: 0 new rows (to be predicted), 1 training rows (fitted and scored), 2 augmentation rows (fitted, never scored). Augmentation rows are a
+    timeline of their own (`source` 1), so laps that both sources hold do not mix. Rows follow each other by role, position and key; a
+    timeline longer than max_len becomes several segments. Per position: `laps`, `roles` (pad -1), `ids` (-1 for augmentation rows and padding),
+    `mask`, `fit_mask` (has a target), `score_mask` (training rows), `new_mask`, `target` (clipped to 0..1, 0 where there is none) and the
+    columns (nulls become 0). `has_train` and `has_positive` say what a segment holds.
+    """
+    r = F.col(role)
+    d = df.select(*keys, pos, r.cast("int").alias("_role"), F.col(key).alias("_id"), F.col(target).cast("double").alias("_t"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    d = d.withColumn("source", (F.col("_role") == 2).cast("int"))
+    d = with_position(d, [*keys, "source"], ["_role", pos, "_id"], "_p")
+    known = F.col("_role") > 0
+    item = {
+        "laps": (F.col(pos).cast("bigint"), 0), "roles": (F.col("_role"), -1), "ids": (F.when(F.col("_role") == 2, -1).otherwise(F.col("_id")).cast("bigint"), -1),
+        "mask": (F.lit(1), 0), "fit_mask": (known.cast("int"), 0), "score_mask": ((F.col("_role") == 1).cast("int"), 0), "new_mask": ((F.col("_role") == 0).cast("int"), 0),
+        "target": (F.when(known, F.least(F.greatest(F.coalesce("_t", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0), 0.0),
+        **{c: (F.coalesce(f"_v{i}", F.lit(0.0)), 0.0) for i, c in enumerate(columns)}}
+    rows = d.select(*keys, "source", F.floor((F.col("_p") - 1) / max_len).cast("int").alias("segment"), F.struct("_p", *[e.alias(n) for n, (e, _) in item.items()]).alias("_i"))
+    g = rows.groupBy(*keys, "source", "segment").agg(F.array_sort(F.collect_list("_i")).alias("_s"))
+    n = F.size("_s")
+    kinds = {f.name: f.dataType for f in rows.schema["_i"].dataType}
+    padded = [F.concat(F.col("_s")[name], F.array_repeat(F.lit(pad).cast(kinds[name]), F.lit(max_len) - n)).alias(name) for name, (_, pad) in item.items()]
+    return g.select(*keys, "source", "segment", n.alias("n"), *padded, F.exists("_s", lambda x: x["score_mask"] == 1).alias("has_train"),
+                    F.exists("_s", lambda x: (x["score_mask"] == 1) & (x["target"] > 0.5)).alias("has_positive"))

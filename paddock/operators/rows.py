@@ -12,6 +12,11 @@ def diagonal_union(frames: dict[str, DataFrame], tag="split") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def shared_columns(*frames: DataFrame, leave_out: tuple[str, ...] = ()) -> list[str]:
+    """Columns that all frames have, in the order of the first: the features a model fitted on one can use on the others."""
+    return [c for c in frames[0].columns if c not in leave_out and all(c in f.columns for f in frames[1:])]
+
+
 def augment_fold(train: DataFrame, fold: int, *extra: DataFrame, fold_col="fold") -> DataFrame:
     """Training rows of a fold plus augmentation rows; the held-out fold is never touched."""
     kept = train.where(F.col(fold_col) != fold).drop(fold_col)

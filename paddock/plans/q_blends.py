@@ -326,8 +326,8 @@ def b18(spark, sf):
 
 @query("B19_bagged_weights")
 def b19(spark, sf):
-    """Bags of about half as many rows as there are, drawn with replacement."""
-    t = se.prepare(oof(spark, sf), DAC, "target", [fo.poisson_weight(100 + b, 0.5) for b in range(BAGS)])
+    """Bags of half as many rows as there are, drawn with replacement."""
+    t = se.prepare(fo.exact_bags(oof(spark, sf).select("id", *DAC, "target"), 0.5, list(range(100, 100 + BAGS))), DAC, "target", "bags")
     found = se.coordinate_descent(t, DAC, "target", [EQUAL] * BAGS)
     return with_mean(spark, sf, DAC, found, [f"bag{b}" for b in range(BAGS)])
 

@@ -102,15 +102,11 @@ E6 = ["TyreLife", "LapTime", "Cumulative_Degradation", "RaceProgress"]
 
 
 @query("E6_quantile_bins_with_null_slot", on_laps(
-    "SELECT id, " + ", ".join(f"coalesce(CASE WHEN id % 53 <> 0 THEN b_{x}.b END, 32) AS {x}_bin" for x in E6)
-    + " FROM laps " + " ".join(f"JOIN b_{x} USING ({x})" for x in E6), *[bin_sql(x, 32, "trainb") for x in E6]).replace(
-        "b_TyreLife AS (", "trainb AS (SELECT * FROM train WHERE id % 53 <> 0), b_TyreLife AS (", 1))
+    "SELECT id, " + ", ".join(f"coalesce(b_{x}.b, 32) AS {x}_bin" for x in E6)
+    + " FROM laps " + " ".join(f"LEFT JOIN b_{x} USING ({x})" for x in E6), *[bin_sql(x, 32) for x in E6]))
 def e6(spark, sf):
-    # the lap table has no nulls, so blank every 53rd row to use the extra slot
-    blank = lambda d: d.withColumns({x: F.when(F.col("id") % 53 != 0, F.col(x)) for x in E6})
-    edges = en.fit_bins(blank(split_of(spark, sf, "train")), E6, 32)
-    return blank(laps(spark, sf)).select("id", *[
-        F.when(F.col(x).isNull(), 32).otherwise(en.apply_bins(x, edges[x])).alias(f"{x}_bin") for x in E6])
+    edges = en.fit_bins(split_of(spark, sf, "train"), E6, 32)
+    return laps(spark, sf).select("id", *[en.apply_bins(x, edges[x], null_slot=32).alias(f"{x}_bin") for x in E6])
 
 
 COMBOS = {"Race_Compound": ["Race", "Compound"], "Race_Year": ["Race", "Year"]}
@@ -156,31 +152,36 @@ def te_sql(key: str) -> str:
 
 
 def te_stats(key: str) -> str:
+    """Mean, number and population variance of the rows that each (outer, part) may see, by key; without a key, of all of them."""
+    by = f", t.{key}" if key else ""
     return f"""
-      SELECT o.k AS "outer", i.j AS part, t.{key}, sum(t.PitNextLap) AS s, count(*) AS n
+      SELECT o.k AS "outer", i.j AS part{by}, avg(t.PitNextLap) AS m, var_pop(t.PitNextLap) AS v, count(*) AS n
       FROM (SELECT DISTINCT fold AS k FROM nested) o
       CROSS JOIN (SELECT DISTINCT inner_fold AS j FROM nested UNION ALL SELECT -1) i
       JOIN nested t ON t.fold <> o.k AND t.inner_fold <> i.j
-      GROUP BY o.k, i.j, t.{key}"""
+      GROUP BY o.k, i.j{by}"""
+
+
+def eb_sql(key: str, every: str) -> str:
+    """Empirical-Bayes shrinkage: n t / (v + n t), with v the variance within the key and t that of all rows."""
+    w = f"coalesce({key}.n * {every}.v / nullif({key}.v + {key}.n * {every}.v, 0), 0)"
+    return f"CASE WHEN {key}.n IS NULL THEN {every}.m ELSE {w} * {key}.m + (1 - {w}) * {every}.m END"
 
 
 @query("E12_nested_target_encoding", on_laps(
-    f"""SELECT a.id, a."outer", {r('coalesce((x.s + p.m * 20) / (x.n + 20), p.m)', 'Race_Compound_te')},
-      {r('coalesce((y.s + p.m * 20) / (y.n + 20), p.m)', 'Race_Year_te')}
+    f"""SELECT a.id, a."outer", {r(eb_sql('x', 'p'), 'Race_Compound_te')}, {r(eb_sql('y', 'p'), 'Race_Year_te')}
     FROM rows_rc a JOIN rows_ry b ON a.id = b.id AND a."outer" = b."outer"
-    JOIN (SELECT "outer", part, sum(s) / sum(n) AS m FROM st_rc GROUP BY "outer", part) p
-      ON p."outer" = a."outer" AND p.part = a.part
+    JOIN st p ON p."outer" = a."outer" AND p.part = a.part
     LEFT JOIN st_rc x ON x."outer" = a."outer" AND x.part = a.part AND x.Race_Compound = a.Race_Compound
     LEFT JOIN st_ry y ON y."outer" = b."outer" AND y.part = b.part AND y.Race_Year = b.Race_Year""",
     FOLDED, NESTED, ("rows_rc", te_sql("Race_Compound")), ("rows_ry", te_sql("Race_Year")),
-    ("st_rc", te_stats("Race_Compound")), ("st_ry", te_stats("Race_Year"))))
+    ("st_rc", te_stats("Race_Compound")), ("st_ry", te_stats("Race_Year")), ("st", te_stats(""))))
 def e12(spark, sf):
-    d = nested_rows(spark, sf)
-    a = ts.nested_target_encode(d, "Race_Compound", TARGET, "fold", "inner_fold", "Race_Compound_te")
-    b = ts.nested_target_encode(d, "Race_Year", TARGET, "fold", "inner_fold", "Race_Year_te")
-    return rounded(a.join(b, ["id", "outer"]))
+    return rounded(ts.nested_target_encode(
+        nested_rows(spark, sf), {"Race_Compound": "Race_Compound_te", "Race_Year": "Race_Year_te"}, TARGET, "fold", "inner_fold"))
 
 
+# fixed key lists
 TS_KEYS = [
     "Driver", "Race_Year", "Driver_Race", "Driver_Compound", "Race_Compound", "Race_Compound_Stint",
     "Compound_TyreLifeBin", "RacePhase_TyreLifeBin", "Compound_Stint", "TyreLifeBin", "PositionBin",
@@ -213,17 +214,23 @@ def e13(spark, sf):
     return rounded(out.select("id", "outer", *[f"ts_{k}_{s}" for k in TS_KEYS for s in ("mean", "std", "cnt")]))
 
 
+def plain_sql(keys: str) -> str:
+    return f"SELECT {keys}, avg(PitNextLap) AS m, var_pop(PitNextLap) AS v, count(*) AS n FROM train GROUP BY {keys}"
+
+
 @query("E14_plain_target_encoding", on_laps(
-    f"""SELECT id, {r('m1', 'Race_Compound_te')}, {r('m2', 'Driver_te')} FROM train
-    JOIN (SELECT Race, Compound, avg(PitNextLap) AS m1 FROM train GROUP BY Race, Compound) USING (Race, Compound)
-    JOIN (SELECT Driver, avg(PitNextLap) AS m2 FROM train GROUP BY Driver) USING (Driver)"""))
+    f"""SELECT id, {r(eb_sql('x', 'p'), 'Race_Compound_te')}, {r(eb_sql('y', 'p'), 'Driver_te')} FROM train
+    JOIN ({plain_sql('Race, Compound')}) x USING (Race, Compound) JOIN ({plain_sql('Driver')}) y USING (Driver),
+    (SELECT avg(PitNextLap) AS m, var_pop(PitNextLap) AS v FROM train) p"""))
 def e14(spark, sf):
-    d = split_of(spark, sf, "train")
-    a = d.groupBy("Race", "Compound").agg(F.avg(TARGET).alias("Race_Compound_te"))
-    b = d.groupBy("Driver").agg(F.avg(TARGET).alias("Driver_te"))
-    return rounded(d.join(a, ["Race", "Compound"]).join(b, "Driver").select("id", "Race_Compound_te", "Driver_te"))
+    d = split_of(spark, sf, "train").withColumns(ex.crosses({"Race_Compound": COMBOS["Race_Compound"]}))
+    fit, out = d, d
+    for key in ("Race_Compound", "Driver"):
+        out = ts.target_encode(out, fit, key, TARGET, f"{key}_te")
+    return rounded(out.select("id", "Race_Compound_te", "Driver_te"))
 
 
+# fixed key and value lists
 GS_KEYS = ["Race_Year", "Race_Compound_Stint", "Driver_Race", "Compound_Stint"]
 GS_VALUES = ["LapTime_Delta", "Position_Change", "RaceProgress", "TyreLife"]
 GS_COLS = [f"{v}_{s}_by_{k}" for k in GS_KEYS for v in GS_VALUES for s in ("mean", "std", "diff_mean")]
@@ -270,13 +277,11 @@ E18 = ["tyre_overdue_p75", "tyre_overdue_p90", "tyre_life_ratio_p50", "tyre_over
     {r('TyreLife / (coalesce(c.p50, g.p50) + 0.000001::DOUBLE)', E18[2])},
     CAST(TyreLife > coalesce(c.p90, g.p90) AS INT) AS {E18[3]}
     FROM laps LEFT JOIN (SELECT Compound, quantile_cont(TyreLife, 0.5) AS p50, quantile_cont(TyreLife, 0.75) AS p75,
-      quantile_cont(TyreLife, 0.9) AS p90 FROM train WHERE Compound <> 'WET' GROUP BY Compound) c USING (Compound)
+      quantile_cont(TyreLife, 0.9) AS p90 FROM train GROUP BY Compound) c USING (Compound)
     CROSS JOIN (SELECT quantile_cont(TyreLife, 0.5) AS p50, quantile_cont(TyreLife, 0.75) AS p75,
-      quantile_cont(TyreLife, 0.9) AS p90 FROM train WHERE Compound <> 'WET') g"""))
+      quantile_cont(TyreLife, 0.9) AS p90 FROM train) g"""))
 def e18(spark, sf):
-    # fitted without one compound, so that its rows take the global fallback
-    fit = split_of(spark, sf, "train").where(F.col("Compound") != "WET")
-    return rounded(en.add_tyre_overdue_inductive(laps(spark, sf), fit).select("id", *E18))
+    return rounded(en.add_tyre_overdue_inductive(laps(spark, sf), split_of(spark, sf, "train")).select("id", *E18))
 
 
 @query("E19_percentile_map", on_laps(f"""
@@ -305,16 +310,30 @@ def e21(spark, sf):
     return rounded(en.winsorize(laps(spark, sf), split_of(spark, sf, "train"), SCALED).select("id", *SCALED))
 
 
-@query("E22_sequences", on_laps(f"""
-    SELECT Race, Year, Driver, CAST((LapNumber - 1) // 128 AS INT) AS segment, CAST(count(*) AS INT) AS n,
-      128 AS padded, CAST(count(*) AS INT) AS mask_sum, {r('arg_min(LapTime, LapNumber)', 'first_laptime')},
-      {r('arg_max(LapTime, LapNumber)', 'last_laptime')}, {r('sum(TyreLife)', 'tyre_sum')}
-    FROM laps GROUP BY ALL"""))
+#: Roles of a lap in a sequence, fixed values.
+ROLES = {"test": 0, "train": 1, "ext": 2}
+MAX_LEN = 128
+_PAD = {"laps": 0, "roles": -1, "ids": -1, "mask": 0, "fit_mask": 0, "score_mask": 0, "new_mask": 0, "target": 0, "pace": 0}
+
+
+def sequence_sql() -> str:
+    """Whole padded arrays, as text; the pace in millionths, so that both engines print it alike."""
+    item = {
+        "laps": "LapNumber", "roles": "role", "ids": "CASE WHEN role = 2 THEN -1 ELSE id END", "mask": "1", "fit_mask": "CAST(role > 0 AS INT)",
+        "score_mask": "CAST(role = 1 AS INT)", "new_mask": "CAST(role = 0 AS INT)", "target": "CASE WHEN role > 0 THEN CAST(PitNextLap AS INT) ELSE 0 END",
+        "pace": "CAST(round(LapTime * 1000000 + CAST(1e-3 AS DOUBLE)) AS BIGINT)"}
+    arrays = ", ".join(f"array_to_string(list_resize(list(CAST({e} AS BIGINT) ORDER BY p), {MAX_LEN}, {_PAD[n]}::BIGINT), ',') AS {n}" for n, e in item.items())
+    return f"""SELECT Race, Year, Driver, source, CAST((p - 1) // {MAX_LEN} AS INT) AS segment, CAST(count(*) AS INT) AS n, {arrays} FROM (
+      SELECT *, row_number() OVER (PARTITION BY Race, Year, Driver, source ORDER BY role, LapNumber, id) AS p FROM (
+        SELECT *, CAST(role = 2 AS INT) AS source FROM (SELECT *, CASE split {' '.join(f"WHEN '{k}' THEN {v}" for k, v in ROLES.items())} END AS role FROM laps)))
+      GROUP BY Race, Year, Driver, source, segment"""
+
+
+@query("E22_sequences", on_laps(sequence_sql()))
 def e22(spark, sf):
-    d = en.sequences(laps(spark, sf), RYD, "LapNumber", ["LapTime", "TyreLife", "LapTime_Delta"], 128)
-    add = lambda a, x: a + x
-    return rounded(d.select(
-        *RYD, "segment", "n", F.size("seq").alias("padded"), F.aggregate("mask", F.lit(0), add).alias("mask_sum"),
-        F.element_at("seq", 1)["LapTime"].alias("first_laptime"),
-        F.element_at("seq", F.col("n"))["LapTime"].alias("last_laptime"),
-        F.aggregate(F.transform("seq", lambda s: s["TyreLife"]), F.lit(0.0), add).alias("tyre_sum")))
+    role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.col("split"))
+    d = en.role_sequences(laps(spark, sf).withColumn("role", role), RYD, "LapNumber", "role", "id", TARGET, ["LapTime"], MAX_LEN)
+    whole = lambda a: F.array_join(F.transform(a, lambda x: x.cast("bigint").cast("string")), ",")
+    pace = F.transform("LapTime", lambda x: F.round(x * 1000000 + 1e-3))
+    arrays = {n: whole(pace if n == "pace" else n) for n in _PAD}
+    return d.select(*RYD, "source", "segment", "n", *[a.alias(n) for n, a in arrays.items()])

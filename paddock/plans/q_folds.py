@@ -41,10 +41,16 @@ def c1(spark, sf):
     return folded(spark, sf).select("id", "fold")
 
 
-@query("C2_group_folds", on_laps("""
-    SELECT id, CAST(CASE WHEN t < 5 THEN t ELSE 9 - t END AS INT) AS fold FROM train JOIN (
-      SELECT Driver, (row_number() OVER (ORDER BY count(*) DESC, Driver) - 1) % 10 AS t FROM train GROUP BY Driver)
-    USING (Driver)"""))
+#: Each group, largest first, into the fold with the fewest rows so far.
+GREEDY = (
+    "sized", "SELECT Driver, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, Driver) AS i FROM train GROUP BY Driver"), (
+    "dealt", """SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS Driver, CAST(NULL AS INT) AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads UNION ALL
+    SELECT g.i, g.Driver, CAST(list_position(loads, list_min(loads)) - 1 AS INT),
+      list_transform(loads, lambda x, j: x + CASE WHEN j = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END)
+    FROM dealt s JOIN sized g ON g.i = s.i + 1""")
+
+
+@query("C2_group_folds", on_laps("SELECT id, fold FROM train JOIN dealt USING (Driver)", *GREEDY).replace("WITH", "WITH RECURSIVE", 1))
 def c2(spark, sf):
     return fo.group_folds(split_of(spark, sf, "train"), "Driver").select("id", "fold")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_dir
 from ..sources import scans as sc
-from ..sources.laps import LAP_SCHEMA, laps, oof, split_of, table
+from ..sources.laps import LAP_SCHEMA, TARGET, combined, laps, oof, split_of, table
 from .features import features
 from .q_folds import OOF_FOLDED, oof_folded
 from .registry import on_laps, query, r, rounded
@@ -32,12 +32,11 @@ def s1(spark, sf):
     return sc.scan_csv(spark, path)
 
 
-@query("S2_external_scan", on_laps(f"SELECT {', '.join(x for x in LAP_COLS if x != 'id')}, CAST(-1 AS BIGINT) AS id FROM ext WHERE id % 50 <> 0"))
+@query("S2_external_scan", on_laps(f"SELECT {', '.join(x for x in LAP_COLS if x != 'id')}, CAST(-1 AS BIGINT) AS id FROM ext"))
 def s2(spark, sf):
-    # lay the augmentation rows out as delivered: no id, a leaky column, some missing compounds
+    # lay the augmentation rows out as delivered: no id, and a leaky column
     path = folder(spark, sf, "ext_csv")
-    d = split_of(spark, sf, "ext").withColumn("Compound", F.when(F.col("id") % 50 != 0, F.col("Compound")))
-    d = d.withColumn("Normalized_TyreLife", F.col("TyreLife") / 30.0).drop("id", "split")
+    d = split_of(spark, sf, "ext").withColumn("Normalized_TyreLife", F.col("TyreLife") / 30.0).drop("id", "split")
     d.select(*[x for x in LAP_COLS if x != "id"], "Normalized_TyreLife").write.mode("overwrite").csv(path, header=True)
     return sc.scan_external(spark, path, "Normalized_TyreLife")
 
@@ -70,26 +69,13 @@ def s6(spark, sf):
 
 
 def pool(spark, sf):
-    """A pool of base tables on disk: three good ones and one of each kind that must be refused."""
+    """A pool of base tables on disk (tests/test_sources.py has pools with bases that must be refused)."""
     d = oof_folded(spark, sf)
     where = folder(spark, sf, "pool")
-    last = d.agg(F.max("id")).scalar()
-    bases = {
-        "tyre": d.withColumn("oof", F.col("oof_a")),
-        "pace": d.withColumn("oof", F.col("oof_c")),
-        "strong": d.withColumn("oof", F.col("oof_d")),
-        "noise_unsubmitted": d.withColumn("oof", F.col("oof_b")),
-        "short": d.where(F.col("id") % 9 != 0).withColumn("oof", F.col("oof_b")),
-        "holes": d.withColumn("oof", F.when(F.col("id") % 31 != 0, F.col("oof_b"))),
-        "twice": d.withColumn("id", F.when(F.col("id") == last, F.col("id") - 1).otherwise(F.col("id"))).withColumn("oof", F.col("oof_b")),
-        "blend_old": d.withColumn("oof", F.col("oof_d")),
-        "tyre_rankblend": d.withColumn("oof", F.col("oof_a")),
-    }
     test = split_of(spark, sf, "test").select("id", F.lit(0.5).alias("PitNextLap"))
-    for name, b in bases.items():
-        sc.write_oof(b, f"{where}/oof_{name}.parquet")
-        if name != "noise_unsubmitted":
-            sc.write_submission(test, f"{where}/submission_{name}.csv")
+    for name, column in {"tyre": "oof_a", "pace": "oof_c", "strong": "oof_d"}.items():
+        sc.write_oof(d.withColumn("oof", F.col(column)), f"{where}/oof_{name}.parquet")
+        sc.write_submission(test, f"{where}/submission_{name}.csv")
     return sc.load_pool(spark, where, oof(spark, sf))
 
 
@@ -104,12 +90,6 @@ def s7(spark, sf):
     SELECT count(*) FILTER (WHERE a.id IS NOT NULL AND b.id IS NOT NULL) AS matched,
       count(*) FILTER (WHERE b.id IS NULL) AS only_left, count(*) FILTER (WHERE a.id IS NULL) AS only_right,
       count(*) FILTER (WHERE a.target <> b.target) AS target_mismatch
-    FROM (SELECT id, target FROM oof WHERE id % 17 <> 0) a FULL JOIN (
-      SELECT id, CASE WHEN id % 13 = 0 THEN 1 - target ELSE target END AS target FROM oof WHERE id % 11 <> 0) b ON a.id = b.id"""))
+    FROM oof a FULL JOIN (SELECT id, PitNextLap AS target FROM comb) b ON a.id = b.id"""))
 def s8(spark, sf):
-    d = oof(spark, sf).select("id", "target")
-    flipped = F.when(F.col("id") % 13 == 0, 1 - F.col("target")).otherwise(F.col("target"))
-    # two damaged copies, so that every count has something to count
-    left = d.where(F.col("id") % 17 != 0)
-    right = d.where(F.col("id") % 11 != 0).withColumn("target", flipped)
-    return sc.alignment(left, right)
+    return sc.alignment(oof(spark, sf).select("id", "target"), combined(spark, sf).select("id", F.col(TARGET).alias("target")))

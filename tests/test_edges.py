@@ -159,7 +159,7 @@ def test_cross_fit_never_uses_the_own_fold(spark):
     rows = [(i, "k", i % 3, i % 2, (i * 7 % 5) % 2) for i in range(60)]
     def encode(rs):
         d = spark.createDataFrame(rs, "id int, k string, fold int, inner int, y int")
-        out = ts.nested_target_encode(d, "k", "y", "fold", "inner", "te", 3, 2)
+        out = ts.nested_target_encode(d, {"k": "te"}, "y", "fold", "inner", 3, 2, ts.fixed_weight(20.0))
         return {(r["id"], r["outer"]): r["te"] for r in out.collect()}
     a = encode(rows)
     b = encode([(i, k, f, n, 1 - y if f == 0 else y) for i, k, f, n, y in rows])

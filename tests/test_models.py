@@ -55,9 +55,11 @@ def test_specialist_replaces_only_its_year(spark):
     assert d.where(F.col("score").isNull()).count() == 0
 
 
-def test_grid_search_reports_every_trial(spark):
+def test_search_reports_every_point_and_where_it_stopped(spark):
     rows = Q["M10_grid_search"](spark, SF).collect()
-    assert len(rows) == 4 and all(0 < r["mean_auc"] < 1 for r in rows)
+    assert len(rows) == 12 and all(0 < r["mean_auc"] < 1 for r in rows)
+    assert all(len(r["fold_aucs"]) == (5 if r["stopped_after"] < 0 else r["stopped_after"] + 1) for r in rows)
+    assert any(r["stopped_after"] < 0 for r in rows)
 
 
 @pytest.mark.parametrize("name,n", [("M11_group_fold_stress", 2), ("C12_external_ablation", 2)])
