@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, logit
-from .auc import auc, with_candidates
+from .auc import with_candidates
+from .contest import OUTER, best
 from .diagnostics import equal_frequency_bins
 from .spread import quantiles, value_ranks, size_limit, with_avg_rank, with_position
 
@@ -111,20 +112,15 @@ def sliced_weights(
 ) -> DataFrame:
     """Blend with a weight per slice, chosen by AUC on the other folds only.
 
-    Every (held-out fold, slice, weight) AUC comes from one job. Slices that are small or nearly
-    one-class use the default; the smallest of equally good weights wins.
+    Weights are rated by histograms per (fold, slice, weight); only those that can still win are scored exactly (`contest`).
+    Slices that are small or nearly one-class use the default; the smallest of equally good weights wins.
     """
-    cands = [{"outer": o, "w": float(w)} for o in range(k) for w in grid]
-    d = with_candidates(df.select(slice_col, fold, anchor, support, label), cands)
-    d = d.where(F.col("cand.outer") != F.col(fold))
+    d = with_candidates(df.select(slice_col, fold, anchor, support, label), [{"w": float(w)} for w in grid])
     w = F.col("cand.w")
-    d = d.select(F.col("cand.outer").alias("outer"), slice_col, w.alias("w"), label,
-                 ((1 - w) * F.col(anchor) + w * F.col(support)).alias("_s"))
-    a = auc(d, ["outer", slice_col, "w"], "_s", label, sized_on=(df, [slice_col]))
+    d = d.select(fold, slice_col, w.alias("w"), label, ((1 - w) * F.col(anchor) + w * F.col(support)).alias("_s"))
     ok = (F.col("n") >= min_n) & (F.col("n_pos") >= min_class) & (F.col("n_pos") <= F.col("n") - min_class)
-    best = a.where(ok & (F.col("auc") > 0)).groupBy("outer", slice_col).agg(
-        F.max_by("w", F.struct("auc", -F.col("w"))).alias("w"))
-    d = df.join(best.withColumnRenamed("outer", fold), [fold, slice_col], "left")
+    found = best(d, [slice_col], "w", "_s", label, fold, k, eligible=ok, sized_on=(df, [slice_col]))
+    d = df.join(found.withColumnRenamed(OUTER, fold), [fold, slice_col], "left")
     d = d.withColumn("w", F.coalesce("w", F.lit(default)))
     return d.withColumn(out, (1 - F.col("w")) * F.col(anchor) + F.col("w") * F.col(support))
 

@@ -11,6 +11,7 @@ from ..operators import diagnostics as dg
 from ..operators import folds as fo
 from ..operators import search as se
 from ..operators.auc import auc, batched_auc, blend_expr, with_candidates
+from ..operators.contest import best_scored
 from ..operators.spread import with_avg_rank, with_position
 from ..sources import scans as sc
 from ..sources.laps import oof, split_of, with_test
@@ -401,7 +402,8 @@ def b23(spark, sf):
                                     for i, p in enumerate((7919, 104729, 1299709))})
     x = with_candidates(d.select("id", "target", "oof_a", *MEMBERS), SUBSETS)
     x = x.select("target", "oof_a", "cand.subset", "cand.k", "cand.grid_w", blend_expr([*MEMBERS, "oof_a"], F.col("cand.w")).alias("s"))
-    a = auc(x, ["subset", "k", "grid_w"], "s", "target", sized_on=(d, []))
+    # the members alone (weight 0) are reported, and of the rest only what can be a subset's best
+    a = best_scored(x, ["subset", "k"], "grid_w", "s", "target", always=F.col("grid_w") == 0, sized_on=(d, []))
     best = a.groupBy("subset", "k").agg(
         F.max(F.when(F.col("grid_w") == 0, F.col("auc"))).alias("member_auc"),
         F.max_by("grid_w", F.struct("auc", -F.col("grid_w"))).alias("best_w"), F.max("auc").alias("best_auc"))
