@@ -1,21 +1,28 @@
 """Mixing sources to target weights: soft membership and nonnegative document rates.
 
 A softmax classifier on hashed words, learned from the labelled table, gives each document a posterior over domains; a
-domain is one (quality, toxic) combination of that table. Each document then gets a rate r >= 0 (how often it is
+domain is one (quality, toxic) combination of that table, however many there are. Each document then gets a rate r >= 0 (how often it is
 drawn) such that the expected tokens of every domain meet a target:
 
-    minimise  1/2 (A r - target)' P (A r - target)  +  RIDGE/2 * sum((r - 1)^2),   A[d, i] = tokens[i] * posterior[i, d].
+    minimise  1/2 (A r - target)' P (A r - target)  +  ridge/2 * sum((r - 1)^2),   A[d, i] = tokens[i] * posterior[i, d].
 
-P is the inverse of A A' (slightly regularised, scaled to curvature one), so that small domains are met as well as large ones
-and the step size doesn't depend on the input's size. Projected gradient: r <- max(0, r - step * gradient). All that a step
-needs from the corpus is A r, one number per domain, so a step is one aggregate over the rows; a document's rate follows from
-the gradients so far, which every step replays, and is never stored between steps.
+P is the inverse of A A' over the documents whose rate is above 0 at the step (slightly regularised), so that small domains are met as well
+as large ones and the step size doesn't depend on the input's size. Projected gradient: r <- max(0, r - step * gradient).
+All that a step needs from the corpus is A r and A A', k and k^2 numbers for k domains, so a step is one aggregate over the rows; a
+document's rate follows from the gradients so far, which every step replays, and is never stored between steps. The ridge starts at
+RIDGE; where the steps have come to rest and a domain still misses its target by more than ACCURACY, it is lowered,
+to LOWEST_RIDGE at least. `rates` returns how the fit went; a target that no rates reach (tokens for a domain that has none) ends
+with `met` false and the rates nearest to it.
 
 The classifier learns from about FIT_ROWS labelled documents (chosen by a hash of the key); posteriors, totals and
-rates cover all documents. Null and empty texts have no tokens: their rate stays at 1. Without two labelled domains
-there is one domain, and all rates are 1. Repeated rows are rows of their own.
+rates cover all documents. Null and empty texts have no tokens: their rate stays at 1. Texts are read whole, whatever their length. Labels
+without a key, quality or toxicity are left out; a document with several labels has the smallest domain by name. A document without a
+key has no label but a rate like any other. Without two labelled domains there is one domain, and all rates are 1; an empty table of documents
+gives an empty result. Repeated rows are rows of their own. Other columns of either table are not read, whatever their names.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,9 +39,12 @@ EPOCHS = 4
 RATE = 0.5
 L2 = 1e-5
 STEPS = 48
-#: Change of a domain's tokens, as a share of all tokens, at which the fit ends.
+#: Change of a domain's tokens, as a share of all tokens, at which the steps are at rest.
 TOLERANCE = 1e-5
+#: Part of its target that a domain may miss.
+ACCURACY = 0.01
 RIDGE = 0.02
+LOWEST_RIDGE = 1e-5
 #: Wanted tokens of a domain (`quality`, `toxic`) against those it has, before all are scaled to the same total.
 PREFERENCE = {"1-0": 1.0, "1-1": 0.25, "0-0": 0.5, "0-1": 0.1}
 
@@ -61,10 +71,9 @@ def sample(labelled: DataFrame, rows: int, key: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Domains and weights (BUCKETS + 1, domains). One task learns from the bounded sample."""
     marked = labels.where(f"{key} IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(
-        F.col(key).alias("_key"), F.concat_ws("-", "quality", "toxic").alias("domain")).dropDuplicates(["_key"])
+        F.col(key).alias("_key"), F.concat_ws("-", "quality", "toxic").alias("domain")).groupBy("_key").agg(F.min("domain").alias("domain"))
     marked = sample(marked, rows, "_key")
-    domains = [r.domain for r in marked.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(16).collect()]
-    domains.sort()
+    domains = sorted(r.domain for r in marked.select("domain").distinct().collect())  # at most FIT_ROWS, about; in fact the labels' few combinations
     if len(domains) < 2:
         return domains or ["all"], np.zeros((BUCKETS + 1, 1), np.float32)
     joined = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(marked), "_key")
@@ -74,11 +83,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     coded = map_texts(joined, encode, "domain string, x binary, _key bigint", ["domain", "_key"])
 
+    index = {d: i for i, d in enumerate(domains)}
+
     def learn(batches):
         xs, ys = [], []
         for b in batches:
             xs += [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
-            ys += [domains.index(d) for d in b.column(0).to_pylist()]
+            ys += [index[d] for d in b.column(0).to_pylist()]
         w = softmax_fit(xs, np.array(ys, np.int64), len(domains))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()])], names=["w"])
 
@@ -136,68 +147,96 @@ def targets(domains: list[str], now: np.ndarray, shares: dict[str, float] | None
     return now.sum() * x / x.sum() if x.sum() > 0 else now
 
 
-def replayed(batch: pa.RecordBatch, history: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
+def replayed(batch: pa.RecordBatch, history: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
     """Rates of a batch's documents after the steps in `history`, and the tokens (documents, domains) behind A."""
     names = batch.schema.names
     column = lambda c: pc.fill_null(batch.column(names.index(c)), 0).to_numpy(zero_copy_only=False).astype(float)
     k = sum(n.startswith("p_") for n in names)
     a = np.stack([column(f"p_{d}") for d in range(k)], axis=1) * column("n_tokens")[:, None]
     r = np.ones(len(a))
-    for g in history:
+    for g, ridge in history:
         r = np.maximum(0, r - (a @ g + ridge * (r - 1)) / (1 + ridge))
     return r, a
 
 
-def _totals(members: DataFrame, history: list[np.ndarray], ridge: float, k: int) -> np.ndarray:
-    """A r: each task sums its documents, and one aggregate sums the tasks."""
+def _sums(members: DataFrame, history: list[tuple[np.ndarray, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A r, and A A' of documents with a rate above 0: each task sums its documents, and one aggregate sums the tasks."""
 
     def run(batches):
-        total = np.zeros(k)
+        total, gram = np.zeros(k), np.zeros((k, k))
         for b in batches:
-            r, a = replayed(b, history, ridge)
+            r, a = replayed(b, history)
             total += r @ a
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"t{d}" for d in range(k)])
+            on = a[r > 0]
+            gram += on.T @ on
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + k * k)), pa.array(np.append(total, gram))], names=["at", "v"])
 
-    parts = members.select("n_tokens", *[f"p_{d}" for d in range(k)]).mapInArrow(run, ", ".join(f"t{d} double" for d in range(k)))
-    row = parts.agg(*[F.sum(f"t{d}").alias(f"t{d}") for d in range(k)]).first()
-    return np.array([row[d] or 0.0 for d in range(k)])
+    parts = members.select("n_tokens", *[f"p_{d}" for d in range(k)]).mapInArrow(run, "at bigint, v double")
+    out = np.zeros(k + k * k)
+    for x in parts.groupBy("at").agg(F.sum("v").alias("v")).collect():  # k + k * k rows
+        out[x.at] = x.v
+    return out[:k], out[k:].reshape(k, k)
 
 
-def rates(members: DataFrame, domains: list[str], shares: dict[str, float] | None = None, steps: int = STEPS, ridge: float = RIDGE) -> tuple[DataFrame, list[dict]]:
-    """`members` with `rate`, and per step the tokens expected of each domain."""
-    k = len(domains)
-    a = [F.col("n_tokens") * F.col(f"p_{d}") for d in range(k)]
-    m = members.agg(*[F.sum(x * y).alias(f"q{i}_{j}") for i, x in enumerate(a) for j, y in enumerate(a) if j >= i]).first()
-    gram = np.array([[m[f"q{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    now = _totals(members, [], ridge, k)
-    total = now.sum()
-    want = targets(domains, now, shares)
-    log = [dict(zip(domains, now, strict=True))]
+def metric(gram: np.ndarray) -> np.ndarray:
+    """The inverse of A A', slightly regularised."""
     top = float(np.linalg.eigvalsh(gram)[-1])
-    history: list[np.ndarray] = []
-    if top > 0:
-        pre = np.linalg.inv(gram / top + 1e-6 * np.eye(k)) / top
-        pre /= max(1e-300, float(np.max(np.abs(np.linalg.eigvals(pre @ gram)))))
-        for _ in range(steps):
-            history.append((now - want) @ pre)
-            after = _totals(members, history, ridge, k)
-            done = np.abs(after - now).max() <= TOLERANCE * max(1.0, total)
-            now = after
-            log.append(dict(zip(domains, now, strict=True)))
-            if done:
+    return np.linalg.inv(gram / top + 1e-9 * np.eye(len(gram))) / top if top > 0 else np.zeros_like(gram)
+
+
+@dataclass
+class Fit:
+    """How a fit of rates ended: tokens expected of each domain before the first and after every step, those wanted, and each step's ridge."""
+
+    domains: list[str]
+    steps: list[np.ndarray]
+    wanted: np.ndarray
+    ridges: list[float]
+    at_rest: bool
+
+    @property
+    def missed(self) -> np.ndarray:
+        """Part of its target that each domain misses."""
+        return np.abs(self.steps[-1] - self.wanted) / np.maximum(self.wanted, 1e-9 * max(1.0, self.wanted.sum()))
+
+    @property
+    def met(self) -> bool:
+        return bool((np.abs(self.steps[-1] - self.wanted) <= ACCURACY * self.wanted + TOLERANCE * self.wanted.sum()).all())
+
+
+def rates(
+    members: DataFrame, domains: list[str], shares: dict[str, float] | None = None, steps: int = STEPS, ridge: float = RIDGE, lowest: float = LOWEST_RIDGE,
+) -> tuple[DataFrame, Fit]:
+    """`members` with `rate`, and how the fit went."""
+    k = len(domains)
+    now, gram = _sums(members, [], k)
+    total = max(1.0, now.sum())
+    fit_ = Fit(domains, [now], targets(domains, now, shares), [], False)
+    history: list[tuple[np.ndarray, float]] = []
+    for _ in range(steps):
+        history.append(((now - fit_.wanted) @ metric(gram), ridge))
+        fit_.ridges.append(ridge)
+        after, gram = _sums(members, history, k)
+        fit_.at_rest = bool(np.abs(after - now).max() <= TOLERANCE * total)
+        now = after
+        fit_.steps.append(now)
+        if fit_.at_rest:
+            if fit_.met or ridge <= lowest:
                 break
+            ridge = max(lowest, ridge / 8)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(replayed(b, history, ridge)[0], 9))], names=[*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(replayed(b, history)[0], 9))], names=[*b.schema.names, "rate"])
 
     fields = T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())])
-    return members.mapInArrow(run, fields), log
+    return members.mapInArrow(run, fields), fit_
 
 
 def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p_*, rate) of every document."""
+    """(doc_id, n_tokens, p_*, rate, missed) of every document; `missed` is the largest part of its target that a domain misses, the same in all rows."""
     domains, w = fit(docs, labels, key, text)
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     members = cut(memberships(rows, domains, w, "text").drop("text"))
-    return rates(members, domains, shares)[0]
+    rated, how = rates(members, domains, shares)
+    return rated.withColumn("missed", F.round(F.lit(float(how.missed.max())), 6))
