@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paddock.llm import decontamination, mixing, ngram_join, pii, quality_rules, queries
+from paddock.session import cut
 from tests.llm.conftest import ODD
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -74,8 +75,8 @@ def shingles(text):
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else frozenset()
 
 
-def brute_join(texts):
-    """(class, n_copies, n_links) by comparing every pair that shares a shingle."""
+def brute_join(texts, threshold=(4, 5)):
+    """(class, n_links) by comparing every pair that shares a shingle."""
     sets = {i: shingles(t) for i, t in texts.items()}
     post = defaultdict(list)
     for i, s in sets.items():
@@ -95,7 +96,7 @@ def brute_join(texts):
 
     links = Counter()
     for (i, j), n in both.items():
-        if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+        if threshold[1] * n >= threshold[0] * (len(sets[i]) + len(sets[j]) - n):
             links[i] += 1
             links[j] += 1
             a, b = sorted((root(i), root(j)))
@@ -130,6 +131,42 @@ def test_prefix_is_shortened_to_the_recall():
     assert 1 - (1 - 0.8**d) ** 10 >= 0.99 > 1 - (1 - 0.8 ** (d + 1)) ** 10
 
 
+def pairs_of_texts(n, words, tail):
+    """Pairs of texts of `words` words whose last `tail` words differ; no two pairs share a word."""
+    rows = []
+    for k in range(n):
+        w = [f"p{k}w{i}" for i in range(words)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: words - tail] + [f"q{k}w{i}" for i in range(tail)]))]
+    return rows
+
+
+def links_of(spark, rows, **kw):
+    nodes = cut(ngram_join.nodes_of(spark.createDataFrame(rows, "doc_id long, text string")))
+    sizes = cut(nodes.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_copies")))
+    return ngram_join.forest_links(nodes, sizes, **kw)
+
+
+def test_prefixes_are_shortened_until_measured_recall(spark):
+    """Links at the threshold call for shorter prefixes, at production parameters; links far above it do not."""
+    at_threshold = pairs_of_texts(200, 94, 10)  # 80 of 100 shingles are shared
+    links, depth, recall = links_of(spark, at_threshold)
+    assert (links.count(), depth) == (400, 7) and recall >= ngram_join.RECALL
+    links, depth, recall = links_of(spark, pairs_of_texts(50, 90, 7))  # 79 of 93
+    assert (links.count(), depth) == (100, ngram_join.DEPTH) and recall >= ngram_join.RECALL
+
+
+def test_shortened_prefixes_find_what_long_ones_miss(spark):
+    """At 0.5 a prefix of eight values shows one pair in seven; prefixes are shortened and groups merged until all are found."""
+    rows = pairs_of_texts(150, 64, 19) + [(1000 + i, t) for i, t in pairs_of_texts(20, 64, 8)]
+    rows += [(2000, rows[0][1] + " x"), (2001, rows[2][1] + " x"), (2002, None), (2003, "")]
+    links, depth, recall = links_of(spark, rows, threshold=(1, 2), recall=0.99)
+    assert depth < 5 and recall >= 0.99
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), (1, 2), 0.99).collect()}
+    want = brute_join(dict(rows), (1, 2))
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    assert all(got[i][1] <= want[i][1] for i in want)
+
+
 def slow_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
