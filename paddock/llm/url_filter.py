@@ -119,7 +119,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, seeds=SEED_WORDS, key: str = "pa
     urls = urls.select("url", host.alias("host"), path.alias("path")).withColumn("fit", first_rule(F.col("host"), F.col("path"), rules))
     urls = cut(urls.select("url", F.col("fit.verdict").alias("ruled"), _runs(F.col("host"), F.col("path")).alias("runs")))
     runs = urls.select("url", "ruled", F.explode("runs").alias("run"))
-    splits = cut(segmented(runs.select("run").distinct(), word_counts(pages, html)))
+    splits = cut(segmented(runs.select("run").distinct(), cut(word_counts(pages, html))))
     seed = F.arrays_overlap("tokens", F.array(*[F.lit(s) for s in seeds]))
     # One row per URL and token with its number; a URL's tokens are as many as its letters at most.
     tokens = runs.join(splits.withColumn("seed", seed), "run")
