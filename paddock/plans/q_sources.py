@@ -32,11 +32,14 @@ def s1(spark, sf):
     return sc.scan_csv(spark, path)
 
 
-@query("S2_external_scan", on_laps(f"SELECT {', '.join(x for x in LAP_COLS if x != 'id')}, CAST(-1 AS BIGINT) AS id FROM ext"))
+@query("S2_external_scan", on_laps(
+    f"SELECT {', '.join(x for x in LAP_COLS if x != 'id')}, CAST(-1 AS BIGINT) AS id FROM delivered WHERE Compound IS NOT NULL",
+    ("delivered", f"SELECT {', '.join(x for x in LAP_COLS if x not in ('id', 'Compound'))}, CASE WHEN id % 50 <> 0 THEN Compound END AS Compound FROM ext")))
 def s2(spark, sf):
-    # lay the augmentation rows out as delivered: no id, and a leaky column
+    # lay the augmentation rows out as delivered: no id, a leaky column, some missing compounds (the scan drops those rows)
     path = folder(spark, sf, "ext_csv")
-    d = split_of(spark, sf, "ext").withColumn("Normalized_TyreLife", F.col("TyreLife") / 30.0).drop("id", "split")
+    d = split_of(spark, sf, "ext").withColumn("Compound", F.when(F.col("id") % 50 != 0, F.col("Compound")))
+    d = d.withColumn("Normalized_TyreLife", F.col("TyreLife") / 30.0).drop("id", "split")
     d.select(*[x for x in LAP_COLS if x != "id"], "Normalized_TyreLife").write.mode("overwrite").csv(path, header=True)
     return sc.scan_external(spark, path, "Normalized_TyreLife")
 
