@@ -125,6 +125,9 @@ def d16(spark, sf):
 
 
 @query("D17_null_sentinels", on_laps("""
-    SELECT id, coalesce(Compound, '__NA__') AS Compound, coalesce(Driver, '__NA__') AS Driver, coalesce(Race, '__NA__') AS Race FROM laps"""))
+    SELECT id, coalesce(CASE WHEN id % 97 <> 0 THEN Compound END, '__NA__') AS Compound,
+      coalesce(Driver, '__NA__') AS Driver, coalesce(Race, '__NA__') AS Race FROM laps"""))
 def d17(spark, sf):
-    return laps(spark, sf).withColumns(ex.no_nulls(["Compound", "Driver", "Race"])).select("id", "Compound", "Driver", "Race")
+    # a few compounds are missing as delivered; the event log has none missing, so the lap table's copy blanks some. All rows are read and kept
+    d = laps(spark, sf).withColumn("Compound", F.when(F.col("id") % 97 != 0, F.col("Compound")))
+    return d.withColumns(ex.no_nulls(["Compound", "Driver", "Race"])).select("id", "Compound", "Driver", "Race")

@@ -18,6 +18,14 @@ def made(spark, tmp_path_factory):
     return folder
 
 
+def test_missing_compounds_get_the_sentinel(spark, made):
+    rows = {r.id: r for r in entry.queries()["D17_null_sentinels"](spark, made).collect()}
+    own = {r.id: r for r in laps(spark, made).collect()}
+    assert len(rows) == len(own) == 2000
+    assert {i for i, r in rows.items() if r.Compound == "__NA__"} == {i for i in own if i % 97 == 0}
+    assert all(r.Compound == own[i].Compound for i, r in rows.items() if i % 97) and all((r.Driver, r.Race) == (own[i].Driver, own[i].Race) for i, r in rows.items())
+
+
 def test_external_rows_without_compound_are_dropped(spark, made):
     rows = entry.queries()["S2_external_scan"](spark, made).collect()
     ext = split_of(spark, made, "ext").collect()
