@@ -1,5 +1,6 @@
 """Queries that treat missing values meet some: on rows made here, each does the whole of what its name says."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,17 @@ def test_missing_compounds_get_the_sentinel(spark, made):
     assert all(r.Compound == own[i].Compound for i, r in rows.items() if i % 97) and all((r.Driver, r.Race) == (own[i].Driver, own[i].Race) for i, r in rows.items())
 
 
+def test_missing_numbers_get_the_extra_bin_and_no_edge(spark, made):
+    rows = {r.id: r for r in entry.queries()["E6_quantile_bins_with_null_slot"](spark, made).collect()}
+    assert set(rows) == set(range(2000))
+    for x in ("TyreLife", "LapTime", "Cumulative_Degradation", "RaceProgress"):
+        assert {i for i, r in rows.items() if r[f"{x}_bin"] == 32} == {i for i in rows if i % 53 == 0}
+    train = [r.LapTime for r in split_of(spark, made, "train").where("id % 53 <> 0").collect()]
+    edges = sorted(set(np.quantile(train, [i / 32 for i in range(1, 32)])))
+    own = {r.id: r.LapTime for r in laps(spark, made).collect()}
+    assert all(r.LapTime_bin == np.searchsorted(edges, own[i], "right") for i, r in rows.items() if i % 53)
+
+
 def test_external_rows_without_compound_are_dropped(spark, made):
     rows = entry.queries()["S2_external_scan"](spark, made).collect()
     ext = split_of(spark, made, "ext").collect()
