@@ -13,7 +13,7 @@ def made(spark, tmp_path_factory):
     """A folder with 2,000 events of 30 users."""
     folder = str(tmp_path_factory.mktemp("made"))
     events = spark.range(2000).select(
-        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"), ((F.col("id") * 7 + F.floor(F.col("id") / 30)) % 30).alias("user_id"),
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"), ((F.col("id") * 7 + F.floor(F.col("id") / 31)) % 30).alias("user_id"),
         F.when(F.col("id") % 5 == 2, "purchase").otherwise("view").alias("event_type"), (F.col("id") * 37 % 501 / 4).alias("value"), F.lit("{}").alias("props"))
     events.coalesce(1).write.parquet(f"{folder}/events.parquet")
     return folder
